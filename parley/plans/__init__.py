@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Named queries. Importing a module of queries registers them."""
