@@ -79,8 +79,8 @@ def spoken(c: Column) -> Column:
 
 
 def leading_drift(c: Column) -> Column:
-    """The letters outside Latin script that a text begins with, marks and spaces between them included; empty if none."""
-    return F.regexp_extract(c, r"^([^\p{Latin}\p{N}]*\p{L})?", 0)
+    """What stands before the first Latin letter or digit; a text drifts if a letter is in it."""
+    return F.regexp_extract(c, r"^[^\p{IsLatin}\p{N}]+", 0)
 
 
 def repeated_run(c: Column, least: int = 6) -> Column:

@@ -1 +1,3 @@
-"""Named queries. Importing a module of queries registers them."""
+"""Named queries. Importing this package registers all of them."""
+
+from . import conversations, events, metrics, relational, scores, streams, texts  # noqa: F401
