@@ -24,15 +24,12 @@ EXAMPLES = 6000
 #: lower bound (at Z) of the share of toxic rows among those that hold it.
 TERMS, LEAST_Z, LEAST_SHARE, Z = 512, 4.0, 0.5, 2.0
 BEGINNINGS = (4, 5, 6)
-NEIGHBOURS, BLOCK, THRESHOLD = 15, 64, 0.7
-#: Word forms that a worker keeps as known to hold no term.
-KEPT = 1_000_000
+NEIGHBOURS, BLOCK, THRESHOLD = 15, 512, 0.7
 
 
 def terms_of(word: bytes) -> list[bytes]:
-    """A word and, marked by ^, its beginnings of 4 to 6 characters."""
-    text = word.decode("utf-8", "replace")
-    return [word, *(b"^" + text[:n].encode() for n in BEGINNINGS if len(text) > n)]
+    """A word and, marked by ^, its beginnings of 4 to 6 bytes. All are told by the word's first four bytes."""
+    return [word, *(b"^" + word[:n] for n in BEGINNINGS if len(word) > n)]
 
 
 def held_out(key):
@@ -51,6 +48,30 @@ def sample(labels: DataFrame, key: str, label: str, examples: int) -> DataFrame:
     return out if out is not None else known.withColumn("weight", F.lit(1.0)).limit(0)
 
 
+def signature(text: str | None) -> int:
+    """The least hash of a text's three-word stretches: copies share it, and near copies nearly always."""
+    from xxhash import xxh64_intdigest
+
+    least, tail = 1 << 64, []
+    for part in word_chunks(text):
+        words = tail + part
+        least = min(least, min((xxh64_intdigest(b" ".join(x)) for x in zip(words, words[1:], words[2:], strict=False)), default=1 << 64))
+        tail = words[-2:]
+    return (least if least < 1 << 64 else xxh64_intdigest(b" ".join(tail))) >> 1
+
+
+def told_apart(texts: DataFrame) -> DataFrame:
+    """Of examples that are copies or near copies of each other, the one of the least id, with the weight of all. ``texts``: id, text, toxic, weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), batch.column("weight"), pa.array([signature(t.as_py()) for t in batch.column("text")], pa.int64())], names=["id", "toxic", "weight", "sig"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    each = texts.select("id", "text", "toxic", "weight").mapInArrow(run, f"id {kind}, toxic int, weight double, sig bigint")
+    return each.groupBy("sig", "toxic").agg(F.min("id").alias("id"), F.sum("weight").alias("weight")).select("id", "toxic", "weight")
+
+
 def choose_terms(texts: DataFrame, n_toxic: int, n_other: int, most: int = TERMS) -> list[bytes]:
     """Terms that mark toxic examples, strongest first. ``texts``: text, toxic."""
 
@@ -86,30 +107,21 @@ def choose_terms(texts: DataFrame, n_toxic: int, n_other: int, most: int = TERMS
 
 
 class Finder:
-    """Counts the vocabulary's terms in whole texts; word forms met before are kept."""
+    """Counts the vocabulary's terms in whole texts."""
 
     def __init__(self, terms: list[bytes]):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.none: set[bytes] = set()
-        self.some: dict[bytes, list[int]] = {}
+        self.first = {t.removeprefix(b"^")[:4] for t in terms}
 
     def counts(self, text: str | None) -> tuple[list[int], list[int]]:
         """Numbers of the terms that stand in a text, sorted, and how often each does."""
         count: dict[int, int] = {}
         for words in word_chunks(text):
-            for w in set(words).difference(self.none):
-                if (own := self.some.get(w)) is None:
-                    if own := [self.number[x] for x in terms_of(w) if x in self.number]:
-                        self.some[w] = own
-                    else:
-                        self.none.add(w)
-                if own:
+            for w in [w for w in set(words) if w[:4] in self.first]:
+                if own := [self.number[x] for x in terms_of(w) if x in self.number]:
                     n = words.count(w)
                     for i in own:
                         count[i] = count.get(i, 0) + n
-        if len(self.none) + len(self.some) > KEPT:
-            self.none.clear()
-            self.some.clear()
         idx = sorted(count)
         return idx, [count[i] for i in idx]
 
@@ -148,9 +160,7 @@ class Index:
 
     def nearest(self, idx: list[int], weights: list[float], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k rows of largest cosine (over 0), nearest first, and their cosines; without row ``skip``."""
-        bound = np.zeros(max(1, self.n_blocks))
-        for i, w in zip(idx, weights, strict=True):
-            bound += w * self.most[i]
+        bound = np.asarray(weights) @ self.most[idx] if len(idx) else np.zeros(max(1, self.n_blocks))
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or (len(best) >= k and best[k - 1] >= bound[b]):
@@ -234,10 +244,13 @@ class Voter:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str = "toxic", examples: int = EXAMPLES, most_terms: int = TERMS) -> tuple[list[bytes], Voter, DataFrame]:
     """The vocabulary, the examples' index, and the written vectors of all documents, over which the terms were counted."""
-    few = written(sample(labels, key, label, examples), "sample")
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    drawn = written(sample(labels, key, label, examples), "sample")
+    few = written(told_apart(rows.join(F.broadcast(drawn), "id")), "examples")  # at most 2 * examples rows of numbers, as drawn
+    forget(drawn)
     sizes = {r["toxic"]: r["n"] for r in few.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    small = F.broadcast(few)  # at most 2 * examples rows of numbers
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(small, "id")
+    small = F.broadcast(few)
+    texts = rows.join(small, "id")
     terms = choose_terms(texts, sizes.get(1, 0), sizes.get(0, 0), most_terms)
     vecs = written(vectors(docs, terms, key, text), "vectors")
     n = vecs.count()
