@@ -1,8 +1,8 @@
 """Sharding by balanced label propagation.
 
 Rows with equal texts are linked. Rows start in shards by a hash; in each round every linked row proposes to move to the
-shard where most of its group is (a group larger than a shard: to one of as many shards as it needs), and of the
-proposals from one shard to another as many are taken as come back or as the target has room for. At last each shard
+shard where most of its group is (a group larger than a shard: to one of as many shards as it needs), and a shard takes
+as many of the proposals as leave it or as it has room for. At last each shard
 keeps its quota, rows without links going first, and the rest fill the shards that are short. Counts of shards then
 differ by one at most. All is built of DataFrame functions; what is broadcast is bounded by the number of shards.
 """
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import forget, written
 
-SHARDS, ROUNDS = 40, 3
-#: Stretches of a shard that are numbered apart: by hash of the row, and of the group.
-BY_ROW, BY_GROUP = 64, 64
+SHARDS, ROUNDS = 40, 5
+#: Stretches of a shard's rows of one kind that are numbered apart.
+STRETCHES = 4096
 
 
 def uniform(*cols: Column) -> Column:
@@ -36,31 +36,33 @@ def rows_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def propagate(linked: DataFrame, n_rows: int, sizes: DataFrame, shards: int, turn: int) -> DataFrame:
-    """One round: ``linked`` (uid, g, shard) with shards changed. ``sizes``: shard, n, of all rows."""
+    """One round: ``linked`` (uid, g, kind, shard) with shards changed. ``sizes``: shard, n, of all rows."""
     quota = max(1, n_rows // shards)
     tally = linked.groupBy("g", "shard").agg(F.count("*").alias("n"))
     wish = tally.groupBy("g").agg(F.max_by("shard", F.struct("n", F.xxhash64("g", "shard"))).alias("best"), F.ceil(F.sum("n") / quota).alias("wide"))
-    # A group that needs several shards takes the ones after its best; which of them a row takes is fixed by the row.
-    target = F.pmod(F.col("best") + F.pmod(F.xxhash64("uid"), F.col("wide")), F.lit(shards)).cast("int")
-    asked = linked.join(wish, "g").select("uid", "g", "shard", target.alias("target"))
-    flow = asked.where("shard != target").groupBy("shard", "target").agg(F.count("*").alias("out"))
-    back = flow.select(F.col("target").alias("shard"), F.col("shard").alias("target"), F.col("out").alias("back"))
-    room = sizes.select(F.col("shard").alias("target"), F.greatest(F.lit(0), F.lit(quota) - F.col("n")).alias("room"))
-    into = flow.groupBy("target").agg(F.sum("out").alias("into"))
-    share = flow.join(back, ["shard", "target"], "left").join(into, "target").join(room, "target", "left").select(
-        "shard", "target", F.least(F.lit(1.0), (F.coalesce("back", F.lit(0)) + F.coalesce("room", F.lit(quota)) * F.col("out") / F.col("into")) / F.col("out")).alias("taken"),
-    )
-    moved = asked.join(F.broadcast(share), ["shard", "target"], "left")  # at most shards * shards rows
-    goes = uniform(F.col("uid"), F.lit(turn)) < F.coalesce("taken", F.lit(0.0))
-    return moved.select("uid", "g", F.when(goes, F.col("target")).otherwise(F.col("shard")).alias("shard"))
+    # A group that needs several shards takes those after one that is fixed by the group, and each row one fixed by the row, so rounds don't undo each other.
+    first = F.when(F.col("wide") > 1, F.pmod(F.xxhash64("g"), F.lit(shards))).otherwise(F.col("best"))
+    target = F.pmod(first + F.pmod(F.xxhash64("uid"), F.col("wide")), F.lit(shards)).cast("int")
+    asked = linked.join(wish, "g").select("uid", "g", "shard", "kind", target.alias("target"))
+    # A shard takes as many as leave it and as it has room for; one row a shard.
+    away = asked.where("shard != target")
+    leave, into = away.groupBy("shard").agg(F.count("*").alias("leave")), away.groupBy(F.col("target").alias("shard")).agg(F.count("*").alias("into"))
+    room = F.lit(quota) - F.coalesce("n", F.lit(0)) + F.coalesce("leave", F.lit(0))
+    share = into.join(leave, "shard", "left").join(sizes, "shard", "left").select(F.col("shard").alias("target"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), room / F.col("into"))).alias("taken"))
+    moved = asked.join(F.broadcast(share), "target", "left")
+    goes = (F.col("shard") != F.col("target")) & (uniform(F.col("uid"), F.lit(turn)) < F.coalesce("taken", F.lit(0.0)))
+    return moved.select("uid", "g", "kind", F.when(goes, F.col("target")).otherwise(F.col("shard")).alias("shard"))
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """``rows`` with rank: their number within the shard from 0, linked rows first. No shard is ever sorted as a whole: stretches are counted, then numbered."""
-    part = F.when(F.col("alone"), BY_ROW * BY_GROUP + F.pmod(F.xxhash64("uid"), F.lit(BY_ROW * BY_GROUP))).otherwise(F.pmod(F.xxhash64("g"), F.lit(BY_GROUP)) * BY_ROW + F.pmod(F.xxhash64("uid"), F.lit(BY_ROW)))
+    """``rows`` with rank: their number within the shard from 0, by kind (groups wider than a shard, other groups each in a row, rows without links).
+
+    No shard is ever sorted as a whole: stretches are counted, then numbered.
+    """
+    part = F.col("kind") * STRETCHES + F.pmod(F.when(F.col("kind") == 1, F.xxhash64("g")).otherwise(F.xxhash64("uid")), F.lit(STRETCHES))
     cut = rows.withColumn("part", part)
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = cut.groupBy("shard", "part").agg(F.count("*").alias("n"))  # at most shards * 2 * BY_ROW * BY_GROUP rows
+    counts = cut.groupBy("shard", "part").agg(F.count("*").alias("n"))  # at most shards * 3 * STRETCHES rows
     offsets = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("shard", "part").orderBy("g", "uid")
     return cut.withColumn("own", F.row_number().over(within) - 1).join(F.broadcast(offsets), ["shard", "part"]).withColumn("rank", F.col("before") + F.col("own")).drop("part", "own", "before")
@@ -74,8 +76,8 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     """
     base = written(rows_of(docs, key, text).withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")), "rows")
     n_rows = base.count()
-    many = base.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    linked = written(base.join(many, "g", "left_semi").select("uid", "g", "shard"), "linked")
+    many = base.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g", (F.col("n") > max(1, n_rows // shards)).alias("wide"))
+    linked = written(base.join(many, "g").select("uid", "g", "shard", F.when(F.col("wide"), 0).otherwise(1).alias("kind")), "linked")
     alone = base.join(many, "g", "left_anti")
     still = written(alone.groupBy("shard").agg(F.count("*").alias("n")), "still")
     for turn in range(rounds):
@@ -83,7 +85,7 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
         after = written(propagate(linked, n_rows, sizes, shards, turn), "linked")
         forget(linked)
         linked = after
-    placed = alone.select("uid", "g", "shard").withColumn("alone", F.lit(True)).unionByName(linked.withColumn("alone", F.lit(False)))
+    placed = alone.select("uid", "g", "shard", F.lit(2).alias("kind")).unionByName(linked)
     numbered = written(ranked(placed).select("uid", "shard", "rank"), "numbered")
 
     # Shards short of their quota take what others have over it, by the running numbers of both.
