@@ -33,7 +33,7 @@ class Pieces:
 
     def __init__(self, proto: bytes, verify: bool = True):
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+        from tokenizers import Tokenizer, decoders, models, normalizers
 
         model = sentencepiece_model_pb2.ModelProto()
         model.ParseFromString(proto)
@@ -55,16 +55,14 @@ class Pieces:
         self.tokenizer = Tokenizer(rebuilt)
         self.tokenizer.normalizer = normalizers.Sequence(steps)
         self.tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
-        self._regex = Regex
         usable = [p for p, _, t in self.pieces if t in (NORMAL, USER)]
         self.splits = train.escape_whitespaces if hasattr(train, "escape_whitespaces") else True
         self.splits = self.splits and not self.rewrites and not any(MARK in p.lstrip(MARK) for p in usable) and not any(t == USER for *_, t in self.pieces)
         lines = not any("\n" in p and p != "\n" for p in usable) and train.byte_fallback
         self.parts = re.compile(" *[^ \n]+|\n| +" if lines else " *[^ ]+| +").findall
         self.bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else train.unk_surface.encode() if t == UNKNOWN else p.replace(MARK, " ").encode() for p, _, t in self.pieces]
-        self.is_byte = np.array([t == BYTE for *_, t in self.pieces])
         self.memo: dict[str, list[int]] = {}
-        self.differ = 0
+        self.odd: set[str] = set()
         self.plain = None
         if verify:
             model.normalizer_spec.add_dummy_prefix = False
@@ -72,15 +70,15 @@ class Pieces:
             self.plain = SentencePieceProcessor(model_proto=model.SerializeToString())
 
     def _merges(self, vocab: dict[str, int]) -> list[tuple[str, str]]:
-        """A BPE model's pieces in order of their scores say which pair of shorter pieces is joined first."""
+        """A BPE model's pieces in order of their scores say which pair of shorter pieces is joined first; of pairs that make the same piece, the one whose left is longer."""
         found = []
         for piece, score, kind in self.pieces:
             if kind == NORMAL:
                 for k in range(1, len(piece)):
                     a, b = vocab.get(piece[:k]), vocab.get(piece[k:])
                     if a is not None and b is not None and self.pieces[a][2] == NORMAL == self.pieces[b][2]:
-                        found.append((-score, a, b))
-        return [(self.pieces[a][0], self.pieces[b][0]) for _, a, b in sorted(found)]
+                        found.append((-score, -k, a, b))
+        return [(self.pieces[a][0], self.pieces[b][0]) for *_, a, b in sorted(found)]
 
     def normalised(self, text: str) -> str:
         """White space as the model's normaliser leaves it; the mark itself counts as a space."""
@@ -90,20 +88,24 @@ class Pieces:
         return f" {text}" if self.prefix and text else text
 
     def _learn(self, parts: list[str]) -> None:
-        """Encode parts not met before, as one multithreaded batch, each held against SentencePiece's own ids."""
+        """Encode parts not met before, as one multithreaded batch, each held against SentencePiece's own ids, which stand where the two differ."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         if self.plain is not None:
-            self.differ += sum(a != b for a, b in zip(ids, self.plain.encode(parts, num_threads=1), strict=True))
+            true = self.plain.encode(parts, num_threads=1)
+            self.odd.update(p for p, a, b in zip(parts, ids, true, strict=True) if a != b)
+            ids = true
         self.memo.update(zip(parts, ids, strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text, as int32."""
+        """Ids of each text, as int32. ``parity`` tells of the text given last whether the rebuilt model alone gives these ids."""
         if len(self.memo) > KEPT:
             self.memo.clear()
+            self.odd.clear()
         cut = [self.parts(self.normalised(t)) if self.splits else [x] if (x := self.normalised(t)) else [] for t in texts]
         if new := list(set(chain.from_iterable(cut)).difference(self.memo)):
             self._learn(new)
         for parts in cut:
+            self.parity = not self.odd or self.odd.isdisjoint(parts)
             yield np.fromiter(chain.from_iterable(map(self.memo.__getitem__, parts)), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -131,8 +133,9 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep_ids: bool = T
     """``docs`` without ``text``'s own column, with n_tokens, ids (if ``keep_ids``), ids_sha256, decoded_sha256, round_trip and parity.
 
     ids_sha256 is over the ids as little-endian int32, decoded_sha256 over the decoded UTF-8. round_trip: decoding gives
-    the normalised text. parity: every part of the batch got the ids that SentencePiece gives it. A null text counts as
-    empty: no ids, round_trip true. Other columns pass through; columns of the names above are replaced.
+    the normalised text. parity: the rebuilt model alone gives SentencePiece's ids; where it doesn't, the ids are
+    SentencePiece's. Without ``verify`` parity is true and untested. A null text counts as empty: no ids, round_trip true.
+    Other columns pass through; columns of the names above are replaced.
     """
     if len(model) > MODEL_BYTES:
         raise ValueError(f"the model has {len(model)} bytes, more than {MODEL_BYTES}")
@@ -146,10 +149,11 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep_ids: bool = T
         pieces = built(model, verify)
 
         def part(batch: pa.RecordBatch, at: int, texts: list[str]) -> pa.RecordBatch:
-            before, n, ids, shas, back, same = pieces.differ, [], [], [], [], []
+            n, ids, shas, back, same, parity = [], [], [], [], [], []
             for t, got in zip(texts, pieces.encode(texts), strict=True):
                 decoded = pieces.decode(got)
                 n.append(len(got))
+                parity.append(pieces.parity)
                 if keep_ids:
                     ids.append(got)
                 shas.append(hashlib.sha256(got.tobytes()).hexdigest())
@@ -163,7 +167,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep_ids: bool = T
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())))
                 names.append("ids")
-            cols += [pa.array(shas, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_()), pa.array([pieces.differ == before] * len(n), pa.bool_())]
+            cols += [pa.array(shas, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_()), pa.array(parity, pa.bool_())]
             return pa.RecordBatch.from_arrays(cols, names=[*names, "ids_sha256", "decoded_sha256", "round_trip", "parity"])
 
         for batch in batches:
