@@ -102,8 +102,12 @@ def choose_terms(texts: DataFrame, n_toxic: int, n_other: int, most: int = TERMS
     z = odds / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     n, share = a + b, a / (a + b)
     low = (share + Z * Z / (2 * n) - Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
-    best = found.select("term", z.alias("z"), low.alias("low")).where((F.col("z") >= LEAST_Z) & (F.col("low") >= LEAST_SHARE)).orderBy(F.desc("z"), "term").limit(most)
-    return [bytes(r["term"]) for r in best.collect()]
+    best = found.select("term", "a", "b", z.alias("z"), low.alias("low")).where((F.col("z") >= LEAST_Z) & (F.col("low") >= LEAST_SHARE)).orderBy(F.desc("z"), "term").limit(most)
+    rows = [(bytes(r["term"]), r["a"], r["b"]) for r in best.collect()]
+    # A term that stands in the same rows as its own beginning says nothing more.
+    begun = {(t[1:], a, b) for t, a, b in rows if t.startswith(b"^")}
+    bare = lambda t: t.removeprefix(b"^")
+    return [t for t, a, b in rows if not any((bare(t)[:n], a, b) in begun for n in BEGINNINGS if n < len(bare(t)))]
 
 
 class Finder:
@@ -153,27 +157,27 @@ class Index:
             for i, w in zip(*rows[r], strict=True):
                 lists[i].append((at, w))
                 self.most[i, at // block] = max(self.most[i, at // block], w)
-        self.ids = [np.array([a for a, _ in x], np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        edges = np.arange(self.n_blocks + 1) * block
-        self.cuts = [np.searchsorted(x, edges) for x in self.ids]
+        # A term's postings of a block are the weights of all the block's rows; where its largest is 0 they are never read.
+        self.postings = np.zeros((n_terms, max(1, self.n_blocks) * block))
+        for i, x in enumerate(lists):
+            self.postings[i, [at for at, _ in x]] = [w for _, w in x]
 
     def nearest(self, idx: list[int], weights: list[float], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k rows of largest cosine (over 0), nearest first, and their cosines; without row ``skip``."""
-        bound = np.asarray(weights) @ self.most[idx] if len(idx) else np.zeros(max(1, self.n_blocks))
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
+        terms, w = np.array(idx, np.int64), np.array(weights)
+        bound = w @ self.most[terms] if len(terms) else np.zeros(max(1, self.n_blocks))
+        best_at, best, least = np.zeros(0, np.int64), np.zeros(0), 0.0
         for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) >= k and best[k - 1] >= bound[b]):
+            if bound[b] <= least:
                 break
-            acc = np.zeros(self.block)
-            for i, w in zip(idx, weights, strict=True):
-                s, e = self.cuts[i][b], self.cuts[i][b + 1]
-                acc[self.ids[i][s:e] - b * self.block] += w * self.weights[i][s:e]
-            at = np.flatnonzero(acc > 0)
+            here = self.most[terms, b] > 0
+            cos = w[here] @ self.postings[terms[here], b * self.block : (b + 1) * self.block]
+            at = np.flatnonzero(cos > least)
             at = at[self.order[at + b * self.block] != skip]
-            best_at, best = np.concatenate([best_at, at + b * self.block]), np.concatenate([best, acc[at]])
+            best_at, best = np.concatenate([best_at, at + b * self.block]), np.concatenate([best, cos[at]])
             keep = np.lexsort((best_at, -best))[:k]
             best_at, best = best_at[keep], best[keep]
+            least = best[-1] if len(best) == k else 0.0
         return self.order[best_at], best
 
 
