@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.hashing import chance
 from ..functions.text import ws_words
 from ..functions.timing import speech_seconds
 
-TURN = Window.partitionBy("conv_id", "turn").orderBy("piece")
+def turn_order() -> WindowSpec:
+    return Window.partitionBy("conv_id", "turn").orderBy("piece")
 
 
 def words(turns: DataFrame) -> DataFrame:

@@ -283,8 +283,8 @@ FROM (SELECT *, lag(partial) OVER (PARTITION BY conv_id, turn ORDER BY piece) AS
 def prefix_diff_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A transcript as it grows, and what each version adds to the one before."""
     rows = P.pieces(conversations(spark, sf_dir)).where("role = 'user'")
-    so_far = F.array_join(F.collect_list("text").over(P.TURN.rowsBetween(Window.unboundedPreceding, 0)), " ")
-    rows = rows.withColumn("partial", so_far).withColumn("before", F.lag("partial").over(P.TURN))
+    so_far = F.array_join(F.collect_list("text").over(P.turn_order().rowsBetween(Window.unboundedPreceding, 0)), " ")
+    rows = rows.withColumn("partial", so_far).withColumn("before", F.lag("partial").over(P.turn_order()))
     added = F.trim(F.substring(F.col("partial"), F.length(F.coalesce("before", F.lit(""))) + 1, F.length("partial")))
     return rows.select("conv_id", "turn", "piece", F.length("partial").cast("bigint").alias("n"), added.alias("added"), F.coalesce(F.startswith("partial", "before"), F.lit(True)).alias("grows"))
 
