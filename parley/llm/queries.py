@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html, licences, pieces, shards, simhash, toxicity, urls, warc
+from . import ann, decontaminate, html, licences, oracles, pieces, shards, simhash, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_warc": oracles.WARC, "op5_decontaminate": oracles.DECONTAMINATE, "op7_urls": oracles.URLS}
 #: The vocabulary file that op9 encodes with.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 

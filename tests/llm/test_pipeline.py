@@ -45,3 +45,10 @@ def test_queries_give_rows(spark, name):
         assert out.count() == spark.read.parquet(f"{sf}/{source}.parquet").count()
     else:
         assert out.count() == 25 * 20
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_rows_are_the_sqls(spark, name):
+    from compare import differences
+
+    assert differences(spark, SF, queries.QUERIES[name], queries.ORACLES[name]) == ""
