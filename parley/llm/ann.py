@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 K = 20
 #: Vectors and queries of a block.
-ROWS, QUERIES = 4096, 2048
+ROWS, QUERIES = 8192, 2048
 #: Projections, the share of them that must collide, the windows' growth, and the share of a block verified at least.
 PROJECTIONS, THRESHOLD, GROWTH, VERIFIED = 64, 0.8, 1.12, 0.25
 SEED = 17
