@@ -104,10 +104,10 @@ def choose_terms(texts: DataFrame, n_toxic: int, n_other: int, most: int = TERMS
     low = (share + Z * Z / (2 * n) - Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
     best = found.select("term", "a", "b", z.alias("z"), low.alias("low")).where((F.col("z") >= LEAST_Z) & (F.col("low") >= LEAST_SHARE)).orderBy(F.desc("z"), "term").limit(most)
     rows = [(bytes(r["term"]), r["a"], r["b"]) for r in best.collect()]
-    # A term that stands in the same rows as its own beginning says nothing more.
-    begun = {(t[1:], a, b) for t, a, b in rows if t.startswith(b"^")}
-    bare = lambda t: t.removeprefix(b"^")
-    return [t for t, a, b in rows if not any((bare(t)[:n], a, b) in begun for n in BEGINNINGS if n < len(bare(t)))]
+    share = {t: a / (a + b) for t, a, b in rows}
+    # A term says nothing more than its own beginning that marks toxic rows as surely.
+    begun = lambda t: [share.get(b"^" + t.removeprefix(b"^")[:n], -1.0) for n in BEGINNINGS if n < len(t.removeprefix(b"^"))]
+    return [t for t, _, _ in rows if share[t] - 0.02 > max(begun(t), default=-1.0)]
 
 
 class Finder:
