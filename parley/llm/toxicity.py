@@ -72,8 +72,9 @@ def told_apart(texts: DataFrame) -> DataFrame:
     return each.groupBy("sig", "toxic").agg(F.min("id").alias("id"), F.sum("weight").alias("weight")).select("id", "toxic", "weight")
 
 
-def choose_terms(texts: DataFrame, n_toxic: int, n_other: int, most: int = TERMS) -> list[bytes]:
-    """Terms that mark toxic examples, strongest first. ``texts``: text, toxic."""
+def choose_terms(texts: DataFrame, n_toxic: int, n_other: int, rarity: float = 1.0, most: int = TERMS) -> list[bytes]:
+    """Terms that mark toxic examples, strongest first. ``texts``: text, toxic. ``rarity``: how many labelled rows that
+    aren't toxic an example of them stands for, if a toxic one stands for one; shares are of all labelled rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,11 +101,11 @@ def choose_terms(texts: DataFrame, n_toxic: int, n_other: int, most: int = TERMS
     a, b = F.col("a"), F.col("b")
     odds = F.log((a + 0.5) / (n_toxic - a + 0.5)) - F.log((b + 0.5) / (n_other - b + 0.5))
     z = odds / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    n, share = a + b, a / (a + b)
+    n, share = a + b, a / (a + rarity * b)
     low = (share + Z * Z / (2 * n) - Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
     best = found.select("term", "a", "b", z.alias("z"), low.alias("low")).where((F.col("z") >= LEAST_Z) & (F.col("low") >= LEAST_SHARE)).orderBy(F.desc("z"), "term").limit(most)
     rows = [(bytes(r["term"]), r["a"], r["b"]) for r in best.collect()]
-    share = {t: a / (a + b) for t, a, b in rows}
+    share = {t: a / (a + rarity * b) for t, a, b in rows}
     # A term says nothing more than its own beginning that marks toxic rows as surely.
     begun = lambda t: [share.get(b"^" + t.removeprefix(b"^")[:n], -1.0) for n in BEGINNINGS if n < len(t.removeprefix(b"^"))]
     return [t for t, _, _ in rows if share[t] - 0.02 > max(begun(t), default=-1.0)]
@@ -252,10 +253,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str = "t
     drawn = written(sample(labels, key, label, examples), "sample")
     few = written(told_apart(rows.join(F.broadcast(drawn), "id")), "examples")  # at most 2 * examples rows of numbers, as drawn
     forget(drawn)
-    sizes = {r["toxic"]: r["n"] for r in few.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["toxic"]: (r["n"], r["w"]) for r in few.groupBy("toxic").agg(F.count("*").alias("n"), F.min("weight").alias("w")).collect()}
     small = F.broadcast(few)
-    texts = rows.join(small, "id")
-    terms = choose_terms(texts, sizes.get(1, 0), sizes.get(0, 0), most_terms)
+    (n_toxic, one), (n_other, other) = sizes.get(1, (0, 1.0)), sizes.get(0, (0, 1.0))
+    terms = choose_terms(rows.join(small, "id"), n_toxic, n_other, other / one, most_terms)
     vecs = written(vectors(docs, terms, key, text), "vectors")
     n = vecs.count()
     df = {r["i"]: r["n"] for r in vecs.select(F.explode("idx").alias("i")).groupBy("i").agg(F.count("*").alias("n")).collect()}  # at most TERMS rows
