@@ -126,3 +126,41 @@ def test_sem(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "v double")
     assert df.agg(timing.sem(F.col("v"))).first()[0] == pytest.approx(math.sqrt(7 / 3) / math.sqrt(3))
     assert df.limit(1).agg(timing.sem(F.col("v"))).first()[0] is None
+
+
+def test_packing_is_a_loops(spark):
+    from parley.operators import folds
+
+    value = "One two. Three four five six. Seven! " + " ".join(["w"] * 12) + ". Last one."
+    got = one(spark, value, lambda c: folds.speech_chunks(c, 6))
+    want, now, n = [], [], 0
+    for s in one(spark, value, text.sentences):
+        size = len(s.split())
+        if n and n + size > 6:
+            want.append(" ".join(now))
+            now, n = [], 0
+        now.append(s)
+        n += size
+    assert got == [*want, " ".join(now)] and one(spark, "", lambda c: folds.speech_chunks(c)) == []
+
+
+def test_slots(spark):
+    from parley.operators import folds
+
+    rows = spark.createDataFrame([(1, 0, "12 34"), (1, 1, "567"), (1, 2, "89012345"), (2, 0, "123"), (2, 1, "x"), (3, 0, "1"), (4, 0, None)], "k bigint, i bigint, t string")
+    got = {r["k"]: (r["digits"], r["state"]) for r in folds.slots(rows, ["k"], "i", "t").collect()}
+    assert got[1] == ("12345678901", "complete") and got[2] == ("", "error") and got[3] == ("1", "open")
+
+
+def test_covering_is_a_loops(spark):
+    from parley.operators import selection
+
+    rows = [(1, 5, 0, 1), (2, 0, 3, 1), (3, 4, 1, 0), (4, 0, 0, 9), (5, 0, 3, 1)]
+    got = selection.covering(spark.createDataFrame(rows, "k bigint, a bigint, b bigint, c bigint"), "k", ["a", "b", "c"], 4)
+    have, left, want = [0, 0, 0], dict((r[0], r[1:]) for r in rows), []
+    for _ in range(4):
+        gain = {k: round(sum(x / (1 + h) for x, h in zip(v, have)), 9) for k, v in left.items()}
+        best = min(gain, key=lambda k: (-gain[k], k))
+        want.append((best, gain[best]))
+        have = [h + x for h, x in zip(have, left.pop(best))]
+    assert [(k, pytest.approx(g)) for k, g in got] == want and len(selection.covering(spark.createDataFrame(rows, "k bigint, a bigint, b bigint, c bigint"), "k", ["a"], 9)) == 5
