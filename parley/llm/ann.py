@@ -93,9 +93,12 @@ def search(data: DataFrame, queries: DataFrame, key: str = "vec_id", vec: str =
     """query_id, rank (from 1), ``key`` and score: each query's ``k`` largest inner products found among all rows of another id.
 
     Fewer rows than ``k``: all. Ties go to the smaller id. Rows that repeat an id count as one candidate each, and none of
-    them is found for a query of that id. Vectors of another length than most are an error of the caller's.
+    them is found for a query of that id. Vectors of another length than most take no part.
     """
     points, asked = usable(data, key, vec), usable(queries, key, vec).dropDuplicates(["id"])
+    dim = points.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    if dim:
+        points, asked = (df.where(F.size("v") == dim[0]["dim"]) for df in (points, asked))
     size = points.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).first()
     n_queries = asked.count()
     blocks, q_blocks, longest = max(1, -(-size["n"] // rows)), max(1, -(-n_queries // query_rows)), float(size["longest"] or 1.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,7 @@ SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61),
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _TO_WORDS = bytes(0x20 if b in SEPARATORS else b + 0x20 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -26,10 +28,20 @@ def word_chunks(text: str | None, chunk: int = 1 << 22):
     """``words_of`` in parts of about ``chunk`` bytes, so that a very long text never stands in memory as one list."""
     if not text:
         return
-    raw, at = text.encode("utf-8", "surrogatepass").translate(_TO_WORDS), 0
+    yield from _split(text.encode("utf-8", "surrogatepass").translate(_TO_WORDS), chunk)
+
+
+def space_chunks(text: str | None, chunk: int = 1 << 22):
+    """What stands between ASCII white space, A-Z lower-cased, as UTF-8; in parts as ``word_chunks``."""
+    if text:
+        yield from _split(text.encode("utf-8", "surrogatepass").lower(), chunk)
+
+
+def _split(raw: bytes, chunk: int):
+    at = 0
     while at < len(raw):
-        end = len(raw) if len(raw) - at <= chunk else raw.find(b" ", at + chunk)
-        end = len(raw) if end < 0 else end
+        gap = _SPACE.search(raw, at + chunk) if len(raw) - at > chunk else None
+        end = gap.start() if gap else len(raw)
         yield raw[at:end].split()
         at = end
 

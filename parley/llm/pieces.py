@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -24,6 +24,8 @@ MARK = "▁"
 MODEL_BYTES = 64 << 20
 #: Encoded parts that a worker keeps before it starts anew.
 KEPT = 400_000
+#: Characters of a text, or ids, that are taken at a time.
+SEGMENT = 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -60,6 +62,7 @@ class Pieces:
         self.splits = self.splits and not self.rewrites and not any(MARK in p.lstrip(MARK) for p in usable) and not any(t == USER for *_, t in self.pieces)
         lines = not any("\n" in p and p != "\n" for p in usable) and train.byte_fallback
         self.parts = re.compile(" *[^ \n]+|\n| +" if lines else " *[^ ]+| +").findall
+        self.border = re.compile("[^ ](?= )")
         self.bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else train.unk_surface.encode() if t == UNKNOWN else p.replace(MARK, " ").encode() for p, _, t in self.pieces]
         self.memo: dict[str, list[int]] = {}
         self.odd: set[str] = set()
@@ -101,16 +104,44 @@ class Pieces:
         if len(self.memo) > KEPT:
             self.memo.clear()
             self.odd.clear()
-        cut = [self.parts(self.normalised(t)) if self.splits else [x] if (x := self.normalised(t)) else [] for t in texts]
+        cut = [self.cut(self.normalised(t)) if len(t) <= SEGMENT else None for t in texts]
+        self._meet(p for p in cut if p)
+        for text, parts in zip(texts, cut, strict=True):
+            if parts is not None:
+                self.parity = not self.odd or self.odd.isdisjoint(parts)
+                yield self._ids(parts)
+                continue
+            found, parity = [], True
+            for segment in self.segments(self.normalised(text)):
+                parts = self.cut(segment)
+                self._meet([parts])
+                found.append(self._ids(parts))
+                parity = parity and self.odd.isdisjoint(parts)
+            self.parity = parity
+            yield np.concatenate(found)
+
+    def cut(self, whole: str) -> list[str]:
+        return self.parts(whole) if self.splits else [whole] if whole else []
+
+    def segments(self, whole: str) -> Iterator[str]:
+        """A long text in segments that begin where a part may: at a space after another character."""
+        at = 0
+        while at < len(whole):
+            m = self.border.search(whole, at + SEGMENT) if self.splits and len(whole) - at > SEGMENT else None
+            end = m.end() if m else len(whole)
+            yield whole[at:end]
+            at = end
+
+    def _meet(self, cut: Iterable[list[str]]) -> None:
         if new := list(set(chain.from_iterable(cut)).difference(self.memo)):
             self._learn(new)
-        for parts in cut:
-            self.parity = not self.odd or self.odd.isdisjoint(parts)
-            yield np.fromiter(chain.from_iterable(map(self.memo.__getitem__, parts)), np.int32)
+
+    def _ids(self, parts: list[str]) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(map(self.memo.__getitem__, parts)), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: marks become spaces, byte pieces bytes, the leading space goes. Bytes that are no UTF-8 become U+FFFD."""
-        raw = b"".join(map(self.bytes.__getitem__, ids.tolist()))
+        raw = b"".join(b"".join(map(self.bytes.__getitem__, ids[k : k + SEGMENT].tolist())) for k in range(0, len(ids), SEGMENT))
         text = raw.decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import forget, space_chunks, written
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Distinct fingerprints of a group that are compared as they are; larger groups are split by their other bits.
@@ -27,23 +27,26 @@ ROWS = 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The SimHash of a text's word shingles, repeats included; 0 without words. Shingles are hashed in parts, so memory is bounded."""
+    """The SimHash of a text's word shingles, repeats included; 0 without words; fewer words than a shingle are one. A long text is hashed in parts."""
     from xxhash import xxh64_intdigest
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    flat = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    del words
-    size = min(shingle, len(ends))
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    counts, n = np.zeros(64, np.int64), len(ends) - size + 1
-    for k in range(0, n, 1 << 15):
-        m = min(1 << 15, n - k)
-        pairs = zip(starts[k : k + m].tolist(), ends[k + size - 1 : k + size - 1 + m].tolist(), strict=True)
-        h = np.fromiter((xxh64_intdigest(flat[s:e], seed) for s, e in pairs), np.uint64, m)
-        counts += np.unpackbits(h.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    counts, n, tail = np.zeros(64, np.int64), 0, []
+    for part in space_chunks(text, 1 << 20):
+        words = tail + part
+        tail = words[-(shingle - 1) :] if shingle > 1 else []
+        if len(words) < shingle:
+            tail = words
+            continue
+        flat = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        m = len(words) - shingle + 1
+        h = np.fromiter((xxh64_intdigest(flat[s:e], seed) for s, e in zip(starts[:m].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, m)
+        for k in range(0, m, 1 << 15):
+            counts += np.unpackbits(h[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += m
+    if not n:
+        return xxh64_intdigest(b" ".join(tail), seed) if tail else 0
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 

@@ -106,6 +106,15 @@ def test_large_groups_are_split_without_loss(spark):
     assert whole == split and len(whole) > 30
 
 
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    text = " ".join(f"W{i % 977}\x0b{i}" for i in range(3000))
+    want = plain_fingerprint(text)
+    chunks = simhash.space_chunks
+    for size in (1, 7, 100, 1 << 20):
+        monkeypatch.setattr(simhash, "space_chunks", lambda t, _, s=size: chunks(t, s))
+        assert simhash.fingerprint(text) == want
+
+
 def test_empty_and_repeated_documents(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
     rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "other words stand here"), (None, None), (3, "")]
@@ -183,7 +192,7 @@ def test_neighbours_recall(spark):
     rng = np.random.default_rng(0)
     vecs = rng.standard_normal((6000, 64)) * rng.uniform(0.5, 1.5, (6000, 1))
     rows = [(i, [float(np.float32(x)) for x in v], "c", i) for i, v in enumerate(vecs)]
-    rows += [(7001, None, "c", 1), (7002, [0.0] * 64, "c", 1), (7003, [float("nan")] * 64, "c", 1), (7004, [None] * 64, "c", 1), (7005, [float("inf")] * 64, "c", 1), (None, [1.0] * 64, "c", 1), (7020, [], "c", 1)]
+    rows += [(7001, None, "c", 1), (7002, [0.0] * 64, "c", 1), (7003, [float("nan")] * 64, "c", 1), (7004, [None] * 64, "c", 1), (7005, [float("inf")] * 64, "c", 1), (None, [1.0] * 64, "c", 1), (7020, [], "c", 1), (7040, [1.0] * 63, "c", 1)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, b string, id bigint")
     got = {}
     for r in ann.search(df, df.where("vec_id % 20 = 0")).collect():

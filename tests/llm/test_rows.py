@@ -197,6 +197,17 @@ def test_pieces_are_sentencepieces(model):
     assert own.tokenizer.decode(ids) == " Hello world"
 
 
+def test_long_texts_are_cut_at_borders(model, monkeypatch):
+    from sentencepiece import SentencePieceProcessor
+
+    own, texts = pieces.Pieces(model), ["word  and\nmore " * 40, " " * 50 + "x" * 50, "", "a b"]
+    want = SentencePieceProcessor(model_proto=model).encode(texts)
+    for size in (1, 5, 64):
+        monkeypatch.setattr(pieces, "SEGMENT", size)
+        got = list(own.encode(texts))
+        assert [g.tolist() for g in got] == want and [own.decode(g) for g in got] == texts
+
+
 def test_unigram_models_are_rebuilt():
     from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
