@@ -36,14 +36,15 @@ def rows_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def propagate(linked: DataFrame, n_rows: int, sizes: DataFrame, shards: int, turn: int) -> DataFrame:
-    """One round: ``linked`` (uid, g, kind, shard) with shards changed. ``sizes``: shard, n, of all rows."""
+    """One round: ``linked`` (uid, g, wide, shard) with shards changed. ``sizes``: shard, n, of all rows."""
     quota = max(1, n_rows // shards)
-    tally = linked.groupBy("g", "shard").agg(F.count("*").alias("n"))
-    wish = tally.groupBy("g").agg(F.max_by("shard", F.struct("n", F.xxhash64("g", "shard"))).alias("best"), F.ceil(F.sum("n") / quota).alias("wide"))
-    # A group that needs several shards takes those after one that is fixed by the group, and each row one fixed by the row, so rounds don't undo each other.
-    first = F.when(F.col("wide") > 1, F.pmod(F.xxhash64("g"), F.lit(shards))).otherwise(F.col("best"))
-    target = F.pmod(first + F.pmod(F.xxhash64("uid"), F.col("wide")), F.lit(shards)).cast("int")
-    asked = linked.join(wish, "g").select("uid", "g", "shard", "kind", target.alias("target"))
+    some = linked.where("wide IS NULL")
+    tally = some.groupBy("g", "shard").agg(F.count("*").alias("n"))
+    wish = tally.groupBy("g").agg(F.max_by("shard", F.struct("n", F.xxhash64("g", "shard"))).alias("target"))
+    asked = some.join(wish, "g").select("uid", "g", "wide", "shard", "target")
+    # Groups wider than a shard are never gathered: such a group's shards follow one that is fixed by the group, each row's by the row.
+    own = F.pmod(F.pmod(F.xxhash64("g"), F.lit(shards)) + F.pmod(F.xxhash64("uid"), F.col("wide")), F.lit(shards)).cast("int")
+    asked = asked.unionByName(linked.where("wide IS NOT NULL").select("uid", "g", "wide", "shard", own.alias("target")))
     # A shard takes as many as leave it and as it has room for; one row a shard.
     away = asked.where("shard != target")
     leave, into = away.groupBy("shard").agg(F.count("*").alias("leave")), away.groupBy(F.col("target").alias("shard")).agg(F.count("*").alias("into"))
@@ -51,7 +52,7 @@ def propagate(linked: DataFrame, n_rows: int, sizes: DataFrame, shards: int, tur
     share = into.join(leave, "shard", "left").join(sizes, "shard", "left").select(F.col("shard").alias("target"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), room / F.col("into"))).alias("taken"))
     moved = asked.join(F.broadcast(share), "target", "left")
     goes = (F.col("shard") != F.col("target")) & (uniform(F.col("uid"), F.lit(turn)) < F.coalesce("taken", F.lit(0.0)))
-    return moved.select("uid", "g", "kind", F.when(goes, F.col("target")).otherwise(F.col("shard")).alias("shard"))
+    return moved.select("uid", "g", "wide", F.when(goes, F.col("target")).otherwise(F.col("shard")).alias("shard"))
 
 
 def ranked(rows: DataFrame) -> DataFrame:
@@ -76,16 +77,22 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     """
     base = written(rows_of(docs, key, text).withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")), "rows")
     n_rows = base.count()
-    many = base.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g", (F.col("n") > max(1, n_rows // shards)).alias("wide"))
-    linked = written(base.join(many, "g").select("uid", "g", "shard", F.when(F.col("wide"), 0).otherwise(1).alias("kind")), "linked")
-    alone = base.join(many, "g", "left_anti")
+    groups = written(base.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+    quota = max(1, n_rows // shards)
+    # Fewer groups than 2 * shards + 1 are wider than a shard, so they can be sent everywhere; others are joined.
+    wide = F.broadcast(groups.where(F.col("n") > quota).select("g", F.ceil(F.col("n") / quota).alias("wide")))
+    marked = base.select("uid", "g", "shard").join(wide, "g", "left")
+    few = groups.where(F.col("n") <= quota).select("g")
+    bare = marked.where("wide IS NULL")
+    linked = written(bare.join(few, "g", "left_semi").unionByName(marked.where("wide IS NOT NULL")), "linked")
+    alone = bare.join(few, "g", "left_anti")
     still = written(alone.groupBy("shard").agg(F.count("*").alias("n")), "still")
     for turn in range(rounds):
         sizes = still.unionByName(linked.groupBy("shard").agg(F.count("*").alias("n"))).groupBy("shard").agg(F.sum("n").alias("n"))
         after = written(propagate(linked, n_rows, sizes, shards, turn), "linked")
         forget(linked)
         linked = after
-    placed = alone.select("uid", "g", "shard", F.lit(2).alias("kind")).unionByName(linked)
+    placed = alone.select("uid", "g", "shard", F.lit(2).alias("kind")).unionByName(linked.select("uid", "g", "shard", F.when(F.col("wide").isNull(), 1).otherwise(0).alias("kind")))
     numbered = written(ranked(placed).select("uid", "shard", "rank"), "numbered")
 
     # Shards short of their quota take what others have over it, by the running numbers of both.
