@@ -1,8 +1,8 @@
 """Sharding by balanced label propagation.
 
 Rows with equal texts are linked. Rows start in shards by a hash; in each round every linked row proposes to move to the
-shard where most of its group is (a group larger than a shard: to one of as many shards as it needs), and a shard takes
-as many of the proposals as leave it or as it has room for. At last each shard
+shard where most of its group is, of equals to the one with most room (a group larger than a shard: to one of as many
+shards as it needs), and a shard takes as many of the proposals as leave it or as it has room for. At last each shard
 keeps its quota, rows without links going first, and the rest fill the shards that are short. Counts of shards then
 differ by one at most. All is built of DataFrame functions; what is broadcast is bounded by the number of shards.
 """
@@ -39,8 +39,13 @@ def propagate(linked: DataFrame, n_rows: int, sizes: DataFrame, shards: int, tur
     """One round: ``linked`` (uid, g, wide, shard) with shards changed. ``sizes``: shard, n, of all rows."""
     quota = max(1, n_rows // shards)
     some = linked.where("wide IS NULL")
-    tally = some.groupBy("g", "shard").agg(F.count("*").alias("n"))
-    wish = tally.groupBy("g").agg(F.max_by("shard", F.struct("n", F.xxhash64("g", "shard"))).alias("target"))
+    free = F.broadcast(sizes.select("shard", (F.lit(quota) - F.col("n")).alias("free")))  # one row a shard
+    tally = some.groupBy("g", "shard").agg(F.count("*").alias("n")).join(free, "shard", "left").withColumn("free", F.coalesce("free", F.lit(quota)))
+    best = F.max(F.struct("n", "free", F.xxhash64("g", "shard").alias("h"), "shard"))
+    wish = tally.groupBy("g").agg(best.alias("best"), F.sum("n").alias("n"))
+    # A group that is together stays; one whose best shard is full meets in another, fixed by the group and the round.
+    keep = (F.col("best.n") == F.col("n")) | (F.col("best.free") > 0)
+    wish = wish.select("g", F.when(keep, F.col("best.shard")).otherwise(F.pmod(F.xxhash64("g", F.lit(turn)), F.lit(shards)).cast("int")).alias("target"))
     asked = some.join(wish, "g").select("uid", "g", "wide", "shard", "target")
     # Groups wider than a shard are never gathered: such a group's shards follow one that is fixed by the group, each row's by the row.
     own = F.pmod(F.pmod(F.xxhash64("g"), F.lit(shards)) + F.pmod(F.xxhash64("uid"), F.col("wide")), F.lit(shards)).cast("int")
