@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, written
 
 #: (host, path, verdict) of the fixed rules.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -70,6 +70,7 @@ def reputation(hosts: DataFrame) -> DataFrame:
         post = counts.crossJoin(F.broadcast(weight))
         a, b = F.col("mean") * F.col("s") + F.col("bad"), (1 - F.col("mean")) * F.col("s") + F.col("n") - F.col("bad")
         post = post.select(level, "n", "bad", a.alias("a"), b.alias("b"))
+        post = written(post, f"{level}-reputation")
         above = post.select(level, (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"))
     a, b = F.col("a"), F.col("b")
     mean = a / (a + b)
@@ -93,7 +94,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
         .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
         .select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad")
     )
-    known_hosts = reputation(hosts)
+    known_hosts = written(reputation(written(hosts, "hosts")), "reputation")  # pages are read once for this, however often levels look at the counts
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("low") > threshold, "block").otherwise("allow")
     return parts.join(known_hosts, "host", "left").select(
