@@ -31,6 +31,11 @@ def word_chunks(text: str | None, chunk: int = 1 << 22):
     yield from _split(text.encode("utf-8", "surrogatepass").translate(_TO_WORDS), chunk)
 
 
+def flat_words(text: str | None) -> bytes:
+    """The words of a text, each after a space or more, as one string of UTF-8."""
+    return b" " + text.encode("utf-8", "surrogatepass").translate(_TO_WORDS) if text else b""
+
+
 def space_chunks(text: str | None, chunk: int = 1 << 22):
     """What stands between ASCII white space, A-Z lower-cased, as UTF-8; in parts as ``word_chunks``."""
     if text:

@@ -9,6 +9,8 @@ weighted by nearness and calibrated on the examples themselves, each scored with
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, word_chunks, written
+from .common import flat_words, forget, word_chunks, written
 
 #: Bound of the sample: labelled rows of each class that are kept as examples, taken in order of a hash of their ids.
 EXAMPLES = 6000
@@ -112,21 +114,24 @@ def choose_terms(texts: DataFrame, n_toxic: int, n_other: int, rarity: float = 1
 
 
 class Finder:
-    """Counts the vocabulary's terms in whole texts."""
+    """Counts the vocabulary's terms in whole texts. One pattern finds the words that begin as a term does; only these are looked at."""
 
     def __init__(self, terms: list[bytes]):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.first = {t.removeprefix(b"^")[:4] for t in terms}
+        by: dict[bytes, set[bytes]] = {}
+        for t in terms:
+            start = t.removeprefix(b"^")[:4]
+            by.setdefault(start[:1], set()).add(re.escape(start[1:]))
+        starts = b"|".join(re.escape(x) + b"(?:" + b"|".join(sorted(rest)) + b")" for x, rest in sorted(by.items()))
+        self.find = re.compile(b" (?:" + starts + b")[^ ]*").findall if terms else lambda _: []
 
     def counts(self, text: str | None) -> tuple[list[int], list[int]]:
         """Numbers of the terms that stand in a text, sorted, and how often each does."""
         count: dict[int, int] = {}
-        for words in word_chunks(text):
-            for w in [w for w in set(words) if w[:4] in self.first]:
-                if own := [self.number[x] for x in terms_of(w) if x in self.number]:
-                    n = words.count(w)
-                    for i in own:
-                        count[i] = count.get(i, 0) + n
+        for w, n in Counter(self.find(flat_words(text))).items():
+            for x in terms_of(w[1:]):
+                if (i := self.number.get(x)) is not None:
+                    count[i] = count.get(i, 0) + n
         idx = sorted(count)
         return idx, [count[i] for i in idx]
 

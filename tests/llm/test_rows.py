@@ -300,3 +300,15 @@ def test_index_is_exact():
         at, got = index.nearest(*rows[q], 10, skip=q)
         want = np.sort(cos)[::-1][:10]
         assert np.allclose(got, want[want > 0]) and np.allclose(cos[at], got)
+
+
+def test_terms_are_counted():
+    terms = [b"^vile", b"vileword", b"a", b"^a.(b"[:1] + b"nast", "é".encode(), b"^grim", b"x" * 3]
+    finder, text = toxicity.Finder(terms), "Vileword vile viles-vileword, a A\tab nasty nast é éa GRIM grims xxx xxxx  "
+    want: dict[int, int] = {}
+    for w in WORD.findall(lower(text)):
+        for i, t in enumerate(terms):
+            if t in toxicity.terms_of(w.encode()):
+                want[i] = want.get(i, 0) + 1
+    assert dict(zip(*finder.counts(text))) == want and len(want) == 7
+    assert finder.counts(None) == finder.counts("") == toxicity.Finder([]).counts(text) == ([], [])
