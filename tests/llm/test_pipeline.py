@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 import corpus_pipeline
-from parley.llm import decontaminate, queries, simhash, toxicity
+from parley.llm import copies, decontaminate, queries, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +54,45 @@ def test_rows_are_the_sqls(spark, name):
     from compare import differences
 
     assert differences(spark, SF, queries.QUERIES[name], queries.ORACLES[name]) == ""
+
+
+def brute_kept(rows):
+    """Least ids of the components of texts whose five-word shingle sets are alike by 0.8, every pair compared."""
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(a & b)
+            if a == b or both * 9 >= 4 * (len(a) + len(b)):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    return {min(i for (i, _), r in zip(rows, root, strict=True) if r == x) for x in set(root)}
+
+
+def test_near_copies_are_found_by_exact_similarity(spark):
+    rng = random.Random(5)
+    vocab, rows = [f"w{i}" for i in range(2000)], [(900, None), (901, " "), (902, "one two"), (903, "One  two"), (904, "one three")]
+    for i in range(12):  # planted near copies: words replaced, ends cut off, and texts that only share a part
+        words = [rng.choice(vocab) for _ in range(rng.randint(40, 200))]
+        rows.append((i * 10, " ".join(words)))
+        for j in range(1, 6):
+            copy = list(words)
+            for _ in range(j):
+                copy[rng.randrange(len(copy))] = rng.choice(vocab)
+            rows.append((i * 10 + j, " ".join(copy)))
+        rows += [(i * 10 + 6, " ".join(words[: len(words) * 9 // 10])), (i * 10 + 7, " ".join(words[: len(words) // 2]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    want, op3 = brute_kept(rows), {r["doc_id"] for r in simhash.deduplicate(docs).collect()}
+    assert {r["doc_id"] for r in stage(spark, docs, SF).collect()} == want and len(want) < len(op3)
+    assert {r["doc_id"] for r in copies.deduplicate(docs, chunk=2).collect()} == want  # clusters wider than a tile lose no pair
+
+
+def test_stage_leaves_no_near_copies(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF)
+    assert {r["doc_id"] for r in out.select("doc_id").collect()} == brute_kept(rows)
