@@ -119,6 +119,11 @@ def test_main_text():
     assert html.main_text("a < b") == "a < b"
 
 
+@pytest.mark.parametrize("odd", ["</>", "</3>", "<a title=it's>", "<i \"x>", "<a title='open>", "<i a = '>' b=\"'>\">", "<i a= >"])
+def test_text_after_malformed_markup_stays(odd):
+    assert html.main_text(f"<article><p>before {odd} after<p>last</article>") == "before after\nlast"
+
+
 def test_wrapper_is_inferred():
     w = html.Wrapper()
     for n, extra in ((1, ""), (3, "<hr>"), (2, "")):
