@@ -36,6 +36,16 @@ def flat_words(text: str | None) -> bytes:
     return b" " + text.encode("utf-8", "surrogatepass").translate(_TO_WORDS) if text else b""
 
 
+def flat_chunks(text: str | None, chunk: int = 1 << 20):
+    """The text as UTF-8 with a space for each byte between words, A-Z lower-cased; in parts as ``word_chunks``."""
+    raw, at = text.encode("utf-8", "surrogatepass").translate(_TO_WORDS) if text else b"", 0
+    while at < len(raw):
+        gap = raw.find(b" ", at + chunk) if len(raw) - at > chunk else -1
+        end = gap if gap >= 0 else len(raw)
+        yield raw[at:end]
+        at = end
+
+
 def space_chunks(text: str | None, chunk: int = 1 << 22):
     """What stands between ASCII white space, A-Z lower-cased, as UTF-8; in parts as ``word_chunks``."""
     if text:

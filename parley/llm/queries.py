@@ -82,4 +82,4 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return found.withColumn("terms", F.array_join("terms", ",")).withColumn("evidence", F.array_join(F.col("evidence").cast("array<string>"), ","))
+    return found.withColumn("evidence", F.array_join(F.col("evidence").cast("array<string>"), ","))

@@ -1,37 +1,36 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and word beginnings. Those that labelled toxic rows hold far more often than other labelled rows are the
-vocabulary of the vectors; how many documents hold each is counted over all documents. The examples, a bounded sample of
-the labelled rows, stand in an inverted index whose postings are cut into blocks that know the largest weight of each
-term, so a search scores the blocks by their bounds and stops once no block left can reach the k-th best. Votes are
-weighted by nearness and calibrated on the examples themselves, each scored without its own vote.
+A text's features are all its words and their beginnings; the documents that hold each are counted over all documents.
+A feature weighs (1 + log of its count) times its inverse document frequency times what it tells of toxicity among the
+labelled sample, which is never nothing: no feature is left out, so every text that shares a word with an example has
+neighbours. The examples stand in an inverted index whose postings are cut into blocks of examples that know the largest
+weight of each feature, so that a search passes over the blocks whose bound can't reach the k-th best. Votes are weighted
+by nearness and calibrated on the examples themselves, each scored without its own vote.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat_words, forget, word_chunks, written
+from .common import flat_chunks, forget, word_chunks, written
 
-#: Bound of the sample: labelled rows of each class that are kept as examples, taken in order of a hash of their ids.
-EXAMPLES = 6000
-#: Bound of the vocabulary, and what a term must show among the examples: the least z of its log odds, and the least
-#: lower bound (at Z) of the share of toxic rows among those that hold it.
-TERMS, LEAST_Z, LEAST_SHARE, Z = 512, 4.0, 0.5, 2.0
-BEGINNINGS = (4, 5, 6)
-NEIGHBOURS, BLOCK, THRESHOLD = 15, 512, 0.7
-
-
-def terms_of(word: bytes) -> list[bytes]:
-    """A word and, marked by ^, its beginnings of 4 to 6 bytes. All are told by the word's first four bytes."""
-    return [word, *(b"^" + word[:n] for n in BEGINNINGS if len(word) > n)]
+#: Bounds of the labelled sample, taken in order of a hash of the ids: rows of each class that tell what features mean,
+#: and those of them that are indexed as examples.
+TEACHERS, EXAMPLES = 6000, 1000
+#: Lengths of the beginnings in characters, and the buckets (a power of two) that documents of features no example has are
+#: counted in; such features only lengthen a text's vector.
+BEGINNINGS, BUCKETS = (3, 5, 7), 1 << 20
+#: What a feature weighs that tells nothing of toxicity, and the rows by which its share of toxic rows is drawn to the mean.
+FLOOR, PRIOR = 0.5, 5.0
+NEIGHBOURS, BLOCK, COMMON, THRESHOLD = 15, 64, 12, 0.7
+#: Answers to equal texts that a worker keeps before it starts anew.
+KEPT = 30_000
 
 
 def held_out(key):
@@ -39,13 +38,13 @@ def held_out(key):
     return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
 
 
-def sample(labels: DataFrame, key: str, label: str, examples: int) -> DataFrame:
-    """At most ``examples`` rows of each class: key, toxic (0 or 1) and each row's weight, by which the sample stands for all labelled rows."""
+def sample(labels: DataFrame, key: str, label: str, teachers: int) -> DataFrame:
+    """At most ``teachers`` rows of each class: id, toxic (0 or 1) and weight, the labelled rows that each stands for."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(key))).groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     out = None
     for toxic, n in sorted(sizes.items()):
-        own = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("id"), "id").limit(examples).withColumn("weight", F.lit(max(1.0, n / examples)))
+        own = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("id"), "id").limit(teachers).withColumn("weight", F.lit(max(1.0, n / teachers)))
         out = own if out is None else out.unionByName(own)
     return out if out is not None else known.withColumn("weight", F.lit(1.0)).limit(0)
 
@@ -62,245 +61,357 @@ def signature(text: str | None) -> int:
     return (least if least < 1 << 64 else xxh64_intdigest(b" ".join(tail))) >> 1
 
 
-def told_apart(texts: DataFrame) -> DataFrame:
-    """Of examples that are copies or near copies of each other, the one of the least id, with the weight of all. ``texts``: id, text, toxic, weight."""
+class Features:
+    """Hashed features of words: the word itself and its beginnings, cut between characters.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), batch.column("weight"), pa.array([signature(t.as_py()) for t in batch.column("text")], pa.int64())], names=["id", "toxic", "weight", "sig"])
-
-    kind = texts.schema["id"].dataType.simpleString()
-    each = texts.select("id", "text", "toxic", "weight").mapInArrow(run, f"id {kind}, toxic int, weight double, sig bigint")
-    return each.groupBy("sig", "toxic").agg(F.min("id").alias("id"), F.sum("weight").alias("weight")).select("id", "toxic", "weight")
+    The hash is a polynomial over the bytes modulo 2**64: of a text's running sums, the difference between two places
+    tells the stretch between them, so all stretches of a text are hashed at once.
+    """
 
+    BASE, UNBASE, SPREAD = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64), 0xD6E8FEB86659FD93
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if n > len(self.up):
+            n = 1 << (n - 1).bit_length()
+            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, base, np.uint64))]) for base in (self.BASE, self.UNBASE))
+
+    def _numbers(self, raw: bytes) -> np.ndarray:
+        """The features of all words of lower-cased UTF-8 with spaces between, repeats included."""
+        at = np.frombuffer(b" " + raw + b" ", np.uint8)
+        self._powers(len(at))
+        space = at == 32
+        starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+        if not len(starts):
+            return np.zeros(0, np.int64)
+        sums = np.zeros(len(at) + 1, np.uint64)
+        np.cumsum(at * self.up[: len(at)], out=sums[1:])
+        letters = np.flatnonzero((at & 0xC0) != 0x80)
+        nth = np.searchsorted(letters, starts)
+        out = [self._hashed(sums, starts, ends, 1)]
+        for k in BEGINNINGS:
+            until = letters[np.minimum(nth + k, len(letters) - 1)]
+            longer = until < ends
+            out.append(self._hashed(sums, starts[longer], until[longer], k + 1))
+        return np.concatenate(out)
+
+    def _hashed(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int) -> np.ndarray:
+        h = (sums[ends] - sums[starts]) * self.down[starts] + np.uint64(kind * self.BASE & (1 << 64) - 1)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(self.SPREAD)
+        return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of a text's features, sorted, and how often each stands in it; none for null and for texts without words."""
+        parts = [np.unique(self._numbers(raw), return_counts=True) for raw in flat_chunks(text)]
+        if len(parts) == 1:
+            idx, tf = parts[0]
+        else:
+            idx, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(i for i, _ in parts)]), return_inverse=True)
+            tf = np.bincount(at, np.concatenate([np.zeros(0), *(n for _, n in parts)]), len(idx))
+        return idx, tf.astype(np.int32)
 
-def choose_terms(texts: DataFrame, n_toxic: int, n_other: int, rarity: float = 1.0, most: int = TERMS) -> list[bytes]:
-    """Terms that mark toxic examples, strongest first. ``texts``: text, toxic. ``rarity``: how many labelled rows that
-    aren't toxic an example of them stands for, if a toxic one stands for one; shares are of all labelled rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, size = [], 0
-            for t, y in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-                words = set()
-                for part in word_chunks(t.as_py()):
-                    words.update(part)
-                found = list({x for w in words for x in terms_of(w)})
-                out.append((found, y))
-                size += len(found)
-                if size > 200_000:
-                    yield rows(out)
-                    out, size = [], 0
-            if out:
-                yield rows(out)
-
-    def rows(out: list[tuple[list[bytes], int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x for f, _ in out for x in f], pa.binary()), pa.array(np.repeat([y for _, y in out], [len(f) for f, _ in out]).astype(np.int32))], names=["term", "toxic"])
-
-    if not n_toxic or not n_other:
-        return []
-    found = texts.select("text", "toxic").mapInArrow(run, "term binary, toxic int").groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b")).where("a >= 3")
-    a, b = F.col("a"), F.col("b")
-    odds = F.log((a + 0.5) / (n_toxic - a + 0.5)) - F.log((b + 0.5) / (n_other - b + 0.5))
-    z = odds / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    n, share = a + b, a / (a + rarity * b)
-    low = (share + Z * Z / (2 * n) - Z * F.sqrt(share * (1 - share) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
-    best = found.select("term", "a", "b", z.alias("z"), low.alias("low")).where((F.col("z") >= LEAST_Z) & (F.col("low") >= LEAST_SHARE)).orderBy(F.desc("z"), "term").limit(most)
-    rows = [(bytes(r["term"]), r["a"], r["b"]) for r in best.collect()]
-    share = {t: a / (a + rarity * b) for t, a, b in rows}
-    # A term says nothing more than its own beginning that marks toxic rows as surely.
-    begun = lambda t: [share.get(b"^" + t.removeprefix(b"^")[:n], -1.0) for n in BEGINNINGS if n < len(t.removeprefix(b"^"))]
-    return [t for t, _, _ in rows if share[t] - 0.02 > max(begun(t), default=-1.0)]
-
-
-class Finder:
-    """Counts the vocabulary's terms in whole texts. One pattern finds the words that begin as a term does; only these are looked at."""
-
-    def __init__(self, terms: list[bytes]):
-        self.number = {t: i for i, t in enumerate(terms)}
-        by: dict[bytes, set[bytes]] = {}
-        for t in terms:
-            start = t.removeprefix(b"^")[:4]
-            by.setdefault(start[:1], set()).add(re.escape(start[1:]))
-        starts = b"|".join(re.escape(x) + b"(?:" + b"|".join(sorted(rest)) + b")" for x, rest in sorted(by.items()))
-        self.find = re.compile(b" (?:" + starts + b")[^ ]*").findall if terms else lambda _: []
-
-    def counts(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Numbers of the terms that stand in a text, sorted, and how often each does."""
-        count: dict[int, int] = {}
-        for w, n in Counter(self.find(flat_words(text))).items():
-            for x in terms_of(w[1:]):
-                if (i := self.number.get(x)) is not None:
-                    count[i] = count.get(i, 0) + n
-        idx = sorted(count)
-        return idx, [count[i] for i in idx]
-
-
-def vectors(docs: DataFrame, terms: list[bytes], key: str, text: str) -> DataFrame:
-    """k (the key), idx and tf (a term's number and how often it stands) of every row; both empty for null texts."""
+def slots(vocabulary: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """The place of each feature in the sorted vocabulary; behind it, one of BUCKETS by its hash for those that it hasn't."""
+    at = np.searchsorted(vocabulary, features)
+    known = at < len(vocabulary)
+    known[known] = vocabulary[at[known]] == features[known]
+    return np.where(known, at, len(vocabulary) + (features & (BUCKETS - 1)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(terms)
-        for batch in batches:
-            got = [finder.counts(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([i for i, _ in got], pa.list_(pa.int32())), pa.array([n for _, n in got], pa.list_(pa.int32()))], names=["k", "idx", "tf"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"k {kind}, idx array<int>, tf array<int>")
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers from each start on, as many as its size."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class Index:
-    """An inverted index over unit vectors in blocks of ``block`` examples, with each block's largest weight of each term."""
-
-    def __init__(self, rows: list[tuple[list[int], list[float]]], n_terms: int, block: int = BLOCK):
-        # Examples with the same strongest term stand together, which makes the blocks' bounds tight.
-        strongest = [max(zip(w, [-i for i in idx], strict=True), default=(0.0, 0)) for idx, w in rows]
-        self.order = np.array(sorted(range(len(rows)), key=lambda r: (-strongest[r][1], -strongest[r][0], r)), np.int64)
-        self.block, self.n_blocks = block, -(-len(rows) // block)
-        self.most = np.zeros((n_terms, max(1, self.n_blocks)))
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for at, r in enumerate(self.order.tolist()):
-            for i, w in zip(*rows[r], strict=True):
-                lists[i].append((at, w))
-                self.most[i, at // block] = max(self.most[i, at // block], w)
-        # A term's postings of a block are the weights of all the block's rows; where its largest is 0 they are never read.
-        self.postings = np.zeros((n_terms, max(1, self.n_blocks) * block))
-        for i, x in enumerate(lists):
-            self.postings[i, [at for at, _ in x]] = [w for _, w in x]
-
-    def nearest(self, idx: list[int], weights: list[float], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k rows of largest cosine (over 0), nearest first, and their cosines; without row ``skip``."""
-        terms, w = np.array(idx, np.int64), np.array(weights)
-        bound = w @ self.most[terms] if len(terms) else np.zeros(max(1, self.n_blocks))
-        best_at, best, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= least:
-                break
-            here = self.most[terms, b] > 0
-            cos = w[here] @ self.postings[terms[here], b * self.block : (b + 1) * self.block]
-            at = np.flatnonzero(cos > least)
-            at = at[self.order[at + b * self.block] != skip]
-            best_at, best = np.concatenate([best_at, at + b * self.block]), np.concatenate([best, cos[at]])
-            keep = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[keep], best[keep]
-            least = best[-1] if len(best) == k else 0.0
-        return self.order[best_at], best
-
-
-def unit(idx: list[int], tf: list[int], idf: np.ndarray) -> list[float]:
-    """TF-IDF weights, 1 + log tf each, of length 1."""
-    w = (1 + np.log(np.maximum(tf, 1))) * idf[idx] if len(idx) else np.zeros(0)
-    size = float(np.sqrt((w * w).sum()))
-    return (w / size).tolist() if size else w.tolist()
+    """An inverted index over rows of (features, weights) in blocks of ``block`` rows, with each block's largest weight of each feature.
+
+    Features are numbers below ``width``.
+    """
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int, block: int = BLOCK):
+        self.n, self.width, self.block, self.n_blocks = len(rows), width, block, max(1, -(-len(rows) // block))
+        sizes = np.array([len(i) for i, _ in rows], np.int64)
+        slot = np.concatenate([np.zeros(0, np.int64), *(np.asarray(i, np.int64) for i, _ in rows)])
+        weight = np.concatenate([np.zeros(0), *(np.asarray(w, float) for _, w in rows)])
+        held = np.bincount(slot, minlength=width)
+        of = np.repeat(np.arange(self.n), sizes)
+        # Rows with the same strongest feature, and of those with the same commonest one, stand together: that makes the bounds tight.
+        strongest, commonest = np.full(self.n, -1), np.full(self.n, -1)
+        for key, by in ((strongest, weight), (commonest, held[slot])):
+            order = np.lexsort((slot, by, of))
+            last = np.flatnonzero(np.concatenate([of[order][1:] != of[order][:-1], [True]])) if len(order) else order
+            key[of[order][last]] = slot[order][last]
+        often = np.bincount(strongest[strongest >= 0], minlength=width + 1)
+        self.order = np.lexsort((np.arange(self.n), np.where(often[strongest] >= 4, strongest, -1), commonest, -often[strongest] * (often[strongest] >= block)))
+        at = np.zeros(self.n, np.int64)
+        at[self.order] = np.arange(self.n)
+        order = np.lexsort((at[of], slot))
+        slot, self.at, self.weight = slot[order], at[of][order], weight[order].astype(np.float32)
+        # Features that one in COMMON rows or more holds have a weight for every row; of the others, a run is the postings of one feature in one block.
+        common = held * COMMON >= max(1, self.n)
+        self.common = np.where(common, np.cumsum(common) - 1, -1)
+        self.full = np.zeros((int(common.sum()), self.n), np.float32)
+        dense = common[slot]
+        self.full[self.common[slot[dense]], self.at[dense]] = self.weight[dense]
+        slot, self.at, self.weight = slot[~dense], self.at[~dense], self.weight[~dense]
+        key = slot * self.n_blocks + self.at // block
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.run_start, self.run_block = np.append(starts, len(key)), key[starts] % self.n_blocks
+        self.run_most = np.maximum.reduceat(self.weight, starts) if len(key) else np.zeros(0, np.float32)
+        self.first_run = np.searchsorted(key[starts] // self.n_blocks, np.arange(width + 1))
+        self.visited = 0
+
+    def nearest(self, idx: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k rows of largest inner product over 0, nearest first, ties to the smaller row, and these products; without row ``skip``.
+
+        Features from ``width`` on match nothing. The blocks of the largest bounds are met first, then those whose bound reaches the k-th best.
+        """
+        empty = np.zeros(0, np.int64), np.zeros(0)
+        known = idx < self.width
+        slot, w = idx[known], np.asarray(weights, float)[known]
+        if not len(slot) or not self.n:
+            return empty
+        place = self.common[slot]
+        full = place >= 0
+        query = np.zeros(len(self.full), np.float32)
+        query[place[full]] = w[full]
+        score = (query @ self.full).astype(float)
+        slot, w = slot[~full], w[~full]
+        n = self.first_run[slot + 1] - self.first_run[slot]
+        runs, w = ranges(self.first_run[slot], n), np.repeat(w, n)
+        block = self.run_block[runs]
+        most = np.maximum.reduceat(score, np.arange(0, self.n, self.block))
+        bound = (np.bincount(block, w * self.run_most[runs], self.n_blocks) + most) * (1 + 1e-6)  # float32 rounds
+        order, met, step, least = np.argsort(-bound, kind="stable"), 0, 2 + k // self.block, 0.0
+        done = np.zeros(self.n_blocks, bool)
+        while met < self.n_blocks and (bound[order[met]] >= least) and bound[order[met]] > 0:
+            now = np.zeros(self.n_blocks, bool)
+            now[[b for b in order[met : met + step].tolist() if bound[b] >= least]] = True
+            here = now[block]
+            part = runs[here]
+            size = self.run_start[part + 1] - self.run_start[part]
+            postings = ranges(self.run_start[part], size)
+            score += np.bincount(self.at[postings], np.repeat(w[here], size) * self.weight[postings], self.n)
+            done |= now
+            met, step = met + step, self.n_blocks
+            rows = np.flatnonzero(np.repeat(done, self.block)[: self.n] & (score > 0))
+            rows = rows[self.order[rows] != skip]
+            least = np.partition(score[rows], -k)[-k] if len(rows) >= k else 0.0
+        self.visited += int(done.sum())
+        if not met or not len(rows):
+            return empty
+        rows = rows[score[rows] >= least]
+        best = np.lexsort((self.order[rows], -score[rows]))[:k]
+        return self.order[rows[best]], score[rows[best]]
 
 
 def rising(raw: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The non-decreasing step function nearest to ``truth``: where its steps begin and their heights (pool adjacent violators)."""
-    steps: list[list[float]] = []
-    for x, y, w in sorted(zip(raw.tolist(), truth.tolist(), weight.tolist(), strict=True)):
-        if steps and steps[-1][0] == x:
-            steps[-1][1] += w * y
-            steps[-1][2] += w
-        else:
-            steps.append([x, w * y, w])
-        while len(steps) > 1 and steps[-2][1] * steps[-1][2] >= steps[-1][1] * steps[-2][2]:
-            _, y2, w2 = steps.pop()
-            steps[-1][1] += y2
-            steps[-1][2] += w2
-    return np.array([s[0] for s in steps]), np.array([s[1] / s[2] for s in steps])
+    """The non-decreasing steps nearest to ``truth`` (pool adjacent violators): where each begins and ends, and its height there. Between steps it rises in a line."""
+    at, of = np.unique(raw, return_inverse=True)
+    steps: list[list[float]] = []  # first, last, sum of truth, weight
+    for x, y, w in zip(at.tolist(), np.bincount(of, truth * weight).tolist(), np.bincount(of, weight).tolist(), strict=True):
+        steps.append([x, x, y, w])
+        while len(steps) > 1 and steps[-2][2] * steps[-1][3] >= steps[-1][2] * steps[-2][3]:
+            _, last, y2, w2 = steps.pop()
+            steps[-1][1] = last
+            steps[-1][2] += y2
+            steps[-1][3] += w2
+    return np.array([x for s in steps for x in s[:2]]), np.array([s[2] / s[3] for s in steps for _ in (0, 1)])
 
 
 class Voter:
-    """Examples, their index and the calibration; made on the driver, bounded by EXAMPLES and TERMS."""
-
-    def __init__(self, examples: list[tuple[int, list[int], list[int], int, float]], idf: np.ndarray, k: int = NEIGHBOURS):
-        self.idf, self.k = idf, k
-        near = [x for x in examples if x[1]]
-        self.ids = np.array([x[0] for x in near], np.int64)
-        self.toxic = np.array([x[3] for x in near], float)
-        self.weight = np.array([x[4] for x in near], float)
-        rows = [(x[1], unit(x[1], x[2], idf)) for x in near]
-        self.index = Index(rows, len(idf))
-        rest = [x for x in examples if not x[1]]
-        self.without = (sum(x[3] * x[4] for x in rest) + 0.5) / (sum(x[4] for x in rest) + 1)
-        self.met: dict[tuple, tuple[float, list[int]]] = {}
-        raw = np.array([self.vote(*r, skip=i)[0] for i, r in enumerate(rows)])
+    """Weights of features, the examples' index and the calibration; made on the driver from the examples' texts and BUCKETS numbers.
+
+    ``examples``: id, features, counts, toxic, weight; features are numbers, those below ``width`` the vocabulary's. ``held``
+    of ``n`` documents hold each feature; ``a`` toxic and ``b`` other rows of the sample do, of ``n_toxic`` and
+    ``n_other``, an other row standing for ``rarity`` times the labelled rows of a toxic one.
+    """
+
+    def __init__(self, examples: list[tuple], n: int, held: np.ndarray, a: np.ndarray, b: np.ndarray, width: int, n_toxic: float, n_other: float, rarity: float, k: int = NEIGHBOURS):
+        self.k, mean = k, n_toxic / max(1.0, n_toxic + rarity * n_other)
+        told = (a + PRIOR * mean) / (a + rarity * b + PRIOR)
+        gain = np.log(np.maximum(told, 1e-9) / np.maximum(1 - told, 1e-9)) - np.log(max(mean, 1e-9) / max(1 - mean, 1e-9))
+        idf = 1 + np.log((n + 1) / (held + 1))
+        self.worth = (idf * (FLOOR + np.maximum(gain, 0) ** 2)).astype(np.float32)
+        near = [x for x in examples if len(x[1])]
+        self.ids = [x[0] for x in near]
+        self.toxic, self.weight = np.array([x[3] for x in near], float), np.array([x[4] for x in near], float)
+        rows = [(np.asarray(x[1]), self.unit(np.asarray(x[1]), np.asarray(x[2]))) for x in near]
+        self.index = Index(rows, width)
+        rest = [x for x in examples if not len(x[1])]
+        alone = self.weight.sum(), (self.weight * self.toxic).sum()
+        self.without = (sum(x[3] * x[4] for x in rest) + 0.5) / (sum(x[4] for x in rest) + 1) if rest else (alone[1] + 0.5) / (alone[0] + 1)
+        self.met: dict[bytes, tuple] = {}
+        raw = np.array([self.vote(i, w, skip=r)[0] for r, (i, w) in enumerate(rows)])
         known = raw >= 0
         self.at, self.height = rising(raw[known], self.toxic[known], self.weight[known]) if known.any() else (np.zeros(0), np.zeros(0))
 
-    def vote(self, idx: list[int], weights: list[float], skip: int = -1) -> tuple[float, np.ndarray]:
-        """The share of the nearest examples' votes for toxic (-1: none is near), each weighted by its nearness, and who they are."""
+    def unit(self, idx: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """The weights of a text's features, of length 1."""
+        w = (1 + np.log(tf)) * self.worth[idx]
+        size = np.sqrt(w @ w)
+        return w / size if size else w
+
+    def vote(self, idx: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        """The share of the nearest examples' votes for toxic (-1: none is near), each weighted by its nearness, who they are, and their cosines."""
         at, cos = self.index.nearest(idx, weights, self.k, skip)
         if not len(at):
-            return -1.0, at
+            return -1.0, at, cos
         w = self.weight[at] / (1.05 - np.minimum(cos, 1))
-        return float((w * self.toxic[at]).sum() / w.sum()), at
+        return float((w * self.toxic[at]).sum() / w.sum()), at, cos
+
+    def of(self, features: Features, vocabulary: np.ndarray, text: str | None) -> tuple[float, list, float]:
+        idx, tf = features.counts(text)
+        return self.score(slots(vocabulary, idx), tf)
 
-    def score(self, idx: list[int], tf: list[int]) -> tuple[float, list[int]]:
-        """The calibrated score, and the ids of the nearest examples as evidence. Equal counts are answered once."""
-        if (got := self.met.get((*idx, *tf))) is not None:
+    def score(self, idx: np.ndarray, tf: np.ndarray) -> tuple[float, list, float]:
+        """The calibrated score, the ids of the nearest examples as evidence, and the nearest one's cosine. Equal counts are answered once."""
+        from xxhash import xxh3_128_digest
+
+        if (got := self.met.get(key := xxh3_128_digest(idx.tobytes() + tf.tobytes()))) is not None:
             return got
-        if len(self.met) > 50_000:
+        if len(self.met) > KEPT:
             self.met.clear()
-        out = self.met[(*idx, *tf)] = self._score(idx, tf)
+        raw, at, cos = self.vote(idx, self.unit(idx, tf)) if len(idx) else (-1.0, np.zeros(0, np.int64), np.zeros(0))
+        if raw < 0 or not len(self.at):
+            out = min(1.0, max(0.0, float(self.without))), [], 0.0
+        else:
+            out = float(np.interp(raw, self.at, self.height)), [self.ids[i] for i in at.tolist()], min(1.0, float(cos[0]))
+        self.met[key] = out
         return out
 
-    def _score(self, idx: list[int], tf: list[int]) -> tuple[float, list[int]]:
-        raw, at = self.vote(idx, unit(idx, tf, self.idf)) if idx else (-1.0, np.zeros(0, np.int64))
-        if raw < 0 or not len(self.at):
-            return min(1.0, max(0.0, float(self.without))), []
-        return float(self.height[max(0, np.searchsorted(self.at, raw, "right") - 1)]), self.ids[at].tolist()
 
+def featured(texts: DataFrame) -> DataFrame:
+    """u (the row's own number), id, toxic, weight, sig, idx and tf of each row of id, text, toxic, weight."""
+    names = ["u", "id", "toxic", "weight"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        for batch in batches:
+            for i, t in enumerate(batch.column("text")):
+                t = t.as_py()
+                idx, tf = features.counts(t)
+                own = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.array([signature(t)], pa.int64()), pa.array([idx], pa.list_(pa.int64())), pa.array([tf], pa.list_(pa.int32()))], names=[*names, "sig", "idx", "tf"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select(F.monotonically_increasing_id().alias("u"), "id", "text", "toxic", "weight").mapInArrow(run, f"u bigint, id {kind}, toxic int, weight double, sig bigint, idx array<bigint>, tf array<int>")
+
+
+def told_apart(rows: DataFrame, examples: int) -> DataFrame:
+    """u, id, toxic, weight and chosen of ``featured`` rows: one row of an id, of copies and near copies the one of the least id with the weight of all; chosen are the first ``examples`` of a class."""
+    one = rows.groupBy("id").agg(F.min(F.struct(F.xxhash64("idx", "tf"), "u", "toxic", "weight", "sig")).alias("x")).select("id", "x.u", "x.toxic", "x.weight", "x.sig")
+    apart = one.groupBy("sig", "toxic").agg(F.min(F.struct("id", "u")).alias("x"), F.sum("weight").alias("weight")).select("x.u", "x.id", "toxic", "weight")
+    nth = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))  # of a bounded sample
+    return apart.withColumn("chosen", nth <= examples)
+
+
+def tallied(rows: DataFrame, vocabulary: Broadcast) -> DataFrame:
+    """at (a feature's number) and n, the rows of ``text`` that hold it. Tasks add up before anything is exchanged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, known = Features(), vocabulary.value
+        n = np.zeros(len(known) + BUCKETS, np.int64)
+        for batch in batches:
+            for t in batch.column("text"):
+                at = slots(known, features.counts(t.as_py())[0])
+                n[np.unique(at)] += 1
+        at = np.flatnonzero(n)
+        for k in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)].astype(np.int32)), pa.array(n[at[k : k + (1 << 16)]])], names=["at", "n"])
 
-def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str = "toxic", examples: int = EXAMPLES, most_terms: int = TERMS) -> tuple[list[bytes], Voter, DataFrame]:
-    """The vocabulary, the examples' index, and the written vectors of all documents, over which the terms were counted."""
+    return rows.select("text").mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
+
+
+def taught(rows: DataFrame, vocabulary: Broadcast) -> DataFrame:
+    """at, a and b: the toxic and the other rows of ``featured`` rows that hold each feature of the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary.value
+        n = np.zeros((2, len(known)), np.int64)
+        for batch in batches:
+            for idx, toxic in zip(batch.column("idx"), batch.column("toxic").to_pylist(), strict=True):
+                at = slots(known, idx.values.to_numpy())
+                n[toxic, at[at < len(known)]] += 1
+        at = np.flatnonzero(n.sum(0))
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[1, at]), pa.array(n[0, at])], names=["at", "a", "b"])
+
+    return rows.select("idx", "toxic").mapInArrow(run, "at int, a bigint, b bigint").groupBy("at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def dense(table: pa.Table, column: str, size: int) -> np.ndarray:
+    out = np.zeros(size)
+    out[table["at"].to_numpy()] = table[column].to_numpy()
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str = "toxic", teachers: int = TEACHERS, examples: int = EXAMPLES) -> Broadcast:
+    """The vocabulary (the examples' features) and the ``Voter``, broadcast: as large as the examples' texts, whatever the number of documents."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    drawn = written(sample(labels, key, label, examples), "sample")
-    few = written(told_apart(rows.join(F.broadcast(drawn), "id")), "examples")  # at most 2 * examples rows of numbers, as drawn
-    forget(drawn)
-    sizes = {r["toxic"]: (r["n"], r["w"]) for r in few.groupBy("toxic").agg(F.count("*").alias("n"), F.min("weight").alias("w")).collect()}
-    small = F.broadcast(few)
-    (n_toxic, one), (n_other, other) = sizes.get(1, (0, 1.0)), sizes.get(0, (0, 1.0))
-    terms = choose_terms(rows.join(small, "id"), n_toxic, n_other, other / one, most_terms)
-    vecs = written(vectors(docs, terms, key, text), "vectors")
-    n = vecs.count()
-    df = {r["i"]: r["n"] for r in vecs.select(F.explode("idx").alias("i")).groupBy("i").agg(F.count("*").alias("n")).collect()}  # at most TERMS rows
-    idf = np.array([1 + np.log((n + 1) / (df.get(i, 0) + 1)) for i in range(len(terms))])
-    known = vecs.join(small, vecs["k"] == small["id"]).groupBy("id").agg(F.min(F.struct("idx", "tf", "toxic", "weight")).alias("x")).select("id", "x.*").orderBy("id")
-    voter = Voter([tuple(r) for r in known.collect()], idf)
-    forget(few)
-    return terms, voter, vecs
-
-
-def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, most_terms: int = TERMS, threshold: float = THRESHOLD) -> DataFrame:
-    """``key``, held_out, score (0 to 1), predicted (score >= ``threshold``), terms (those found) and evidence (ids of the nearest examples, nearest first).
-
-    Learns from labelled rows that are not held out, at most ``examples`` of each class. Null and empty texts, and texts
-    without any term, get the share of toxic rows among examples without terms; 0.5 if there are none. Labels of one key
-    that differ count as toxic. Repeated document rows each get their row.
+    drawn = written(sample(labels, key, label, teachers), "sample")
+    vecs = written(featured(rows.join(F.broadcast(drawn), "id")), "teachers")  # at most 2 * teachers rows of numbers, as drawn
+    few = written(told_apart(vecs, examples), "examples")
+    sums = {(r["toxic"], r["chosen"]): (r["n"], r["w"]) for r in few.groupBy("toxic", "chosen").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+    size = lambda y, i: sum(x[i] for (t, _), x in sums.items() if t == y)
+    n_toxic, n_other = size(1, 0), size(0, 0)
+    rarity = (size(0, 1) / n_other) / (size(1, 1) / n_toxic) if n_toxic and n_other else 1.0
+    scale = {y: size(y, 1) / sums[y, True][1] for y in (0, 1) if (y, True) in sums}
+    own = vecs.select("u", "idx", "tf").join(F.broadcast(few.where("chosen")), "u").select("id", "idx", "tf", "toxic", "weight").toArrow()
+    found = sorted(zip(own["id"].to_pylist(), [x.values.to_numpy() for x in own["idx"]], [x.values.to_numpy() for x in own["tf"]], own["toxic"].to_pylist(), own["weight"].to_pylist(), strict=True), key=lambda x: x[0])
+    vocabulary = np.unique(np.concatenate([np.zeros(0, np.int64), *(x[1] for x in found)]))
+    shipped = spark.sparkContext.broadcast(vocabulary)
+    width = len(vocabulary) + BUCKETS
+    told = taught(vecs.join(F.broadcast(few.select("u")), "u"), shipped).toArrow()
+    held = dense(tallied(rows, shipped).toArrow(), "n", width)
+    found = [(i, slots(vocabulary, idx), tf, y, w * scale[y]) for i, idx, tf, y, w in found]
+    voter = Voter(found, rows.count(), held, dense(told, "a", width), dense(told, "b", width), len(vocabulary), n_toxic, n_other, rarity)
+    for table in (drawn, vecs, few):
+        forget(table)
+    shipped.unpersist()
+    return spark.sparkContext.broadcast((vocabulary, voter))
+
+
+def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", teachers: int = TEACHERS, examples: int = EXAMPLES, threshold: float = THRESHOLD) -> DataFrame:
+    """``key``, held_out, score (0 to 1), predicted (score >= ``threshold``), evidence (ids of the nearest examples, nearest first) and cosine (the nearest one's).
+
+    Learns from labelled rows that are not held out, at most ``teachers`` of each class, ``examples`` of them indexed.
+    Null and empty texts, and texts that share no word with an example, have no evidence and get the share of toxic rows
+    among examples without words, or of all if there are none; 0.5 without labels. Labels of one key that differ count
+    as toxic; labels other than 0 and 1 and null keys teach nothing. Of different texts of one key one teaches. Repeated
+    document rows each get their row; other columns are not read.
     """
-    terms, voter, vecs = fit(docs, labels, key, text, label, examples, most_terms)
-    names = [t.decode("utf-8", "replace") for t in terms]
+    model = fit(docs, labels, key, text, label, teachers, examples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (vocabulary, voter), features = model.value, Features()
         for batch in batches:
-            idx = batch.column("idx").to_pylist()
-            got = [voter.score(i, n) for i, n in zip(idx, batch.column("tf").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([s for s, _ in got], pa.float64()), pa.array([[names[i] for i in x] for x in idx], pa.list_(pa.string())), pa.array([e for _, e in got], pa.list_(pa.int64()))], names=["k", "score", "terms", "evidence"])
+            got = [voter.of(features, vocabulary, t.as_py()) for t in batch.column("text")]
+            k = batch.column("k")
+            yield pa.RecordBatch.from_arrays([k, pa.array([s for s, *_ in got], pa.float64()), pa.array([e for _, e, _ in got], pa.list_(k.type)), pa.array([c for *_, c in got], pa.float64())], names=["k", "score", "evidence", "cosine"])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = vecs.mapInArrow(run, f"k {kind}, score double, terms array<string>, evidence array<bigint>")
-    return out.select(F.col("k").alias(key), held_out(F.col("k")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "terms", "evidence")
+    out = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"k {kind}, score double, evidence array<{kind}>, cosine double")
+    return out.select(F.col("k").alias(key), held_out(F.col("k")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence", "cosine")
 
 
 def clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows scored as toxic; all their columns. No text is shuffled: the examples go to the documents."""
-    terms, voter, vecs = fit(docs, labels, key, text)
-    forget(vecs)
+    """``docs`` without the rows that ``score`` predicts as toxic; all their columns, whatever their names. No text is shuffled.
+
+    Null and empty texts stay unless most examples without words are toxic; repeated rows are judged alike; without
+    labels, and of an empty table, all rows stay.
+    """
+    model = fit(docs, labels, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(terms)
+        (vocabulary, voter), features = model.value, Features()
         for batch in batches:
-            yield batch.filter(pa.array([voter.score(*finder.counts(t.as_py()))[0] < threshold for t in batch.column(text)], pa.bool_()))
+            yield batch.filter(pa.array([voter.of(features, vocabulary, t.as_py())[0] < threshold for t in batch.column(text)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

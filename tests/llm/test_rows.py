@@ -267,7 +267,7 @@ def test_toxicity(spark):
     labels += [(None, 1, 1), (5555, 0, 1), (1, 1, 0)]
     lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
     got = toxicity.score(docs_of(spark, rows), lab).collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and {r["doc_id"]: r for r in got}[2003]["cosine"] > 0
     by = {r["doc_id"]: r for r in got}
     for i in range(900):
         assert by[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
@@ -287,33 +287,103 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs_of(spark, []), none).count() == 0
 
 
-def test_index_is_exact():
+def test_index_is_exact(monkeypatch):
     rng = random.Random(1)
     import numpy as np
 
-    rows = []
-    for _ in range(500):
-        idx = sorted(rng.sample(range(30), rng.randint(1, 6)))
-        rows.append((idx, toxicity.unit(idx, [rng.randint(1, 4) for _ in idx], np.linspace(1, 3, 30))))
-    index = toxicity.Index(rows, 30, block=16)
-    dense = np.zeros((500, 30))
-    for r, (idx, w) in enumerate(rows):
-        dense[r, idx] = w
-    for q in range(0, 500, 7):
-        cos = dense @ dense[q]
-        cos[q] = 0
-        at, got = index.nearest(*rows[q], 10, skip=q)
-        want = np.sort(cos)[::-1][:10]
-        assert np.allclose(got, want[want > 0]) and np.allclose(cos[at], got)
-
-
-def test_terms_are_counted():
-    terms = [b"^vile", b"vileword", b"a", b"^a.(b"[:1] + b"nast", "é".encode(), b"^grim", b"x" * 3]
-    finder, text = toxicity.Finder(terms), "Vileword vile viles-vileword, a A\tab nasty nast é éa GRIM grims xxx xxxx  "
-    want: dict[int, int] = {}
+    for common in (1, 10, 1000):
+        monkeypatch.setattr(toxicity, "COMMON", common)
+        rows = []
+        for r in range(500):
+            idx = np.array(sorted(rng.sample(range(30 * (r % 3), 30 * (r % 3) + 40), rng.randint(1, 6))))
+            w = np.array([rng.random() + 0.1 for _ in idx])
+            rows.append((idx, w / np.sqrt(w @ w)))
+        index = toxicity.Index(rows, 100, block=16)
+        dense = np.zeros((500, 100))
+        for r, (idx, w) in enumerate(rows):
+            dense[r, idx] = w
+        for q in range(0, 500, 7):
+            cos = dense @ dense[q]
+            cos[q] = 0
+            at, got = index.nearest(np.append(rows[q][0], 105), np.append(rows[q][1], 0.5), 10, skip=q)
+            want = np.sort(cos)[::-1][:10]
+            assert np.allclose(got, want[want > 0], atol=1e-5) and np.allclose(cos[at], got, atol=1e-5)
+        assert index.visited < 72 * index.n_blocks or common == 1000
+    assert not len(toxicity.Index([], 5).nearest(np.array([1]), np.array([1.0]), 3)[0])
+
+
+def plain_features(text):
+    count: dict[str, int] = {}
     for w in WORD.findall(lower(text)):
-        for i, t in enumerate(terms):
-            if t in toxicity.terms_of(w.encode()):
-                want[i] = want.get(i, 0) + 1
-    assert dict(zip(*finder.counts(text))) == want and len(want) == 7
-    assert finder.counts(None) == finder.counts("") == toxicity.Finder([]).counts(text) == ([], [])
+        for x in (w, *("^" + w[:k] for k in toxicity.BEGINNINGS if len(w) > k)):
+            count[x] = count.get(x, 0) + 1
+    return count
+
+
+def test_features_are_counted():
+    features, texts = toxicity.Features(), ["Vileword vile viles-vileword, a A\tab ééééé ééé é GRIM grims 1x xxxxxxxx  ", "x", "日本語テキスト abc"]
+    seen: dict[str, int] = {}
+    for t in texts:
+        idx, tf = features.counts(t)
+        want = plain_features(t)
+        assert sorted(tf.tolist()) == sorted(want.values()) and len(set(idx.tolist())) == len(idx)
+        for x in set(WORD.findall(lower(t))):  # a word alone has its features within those of the text
+            one = features.counts(x)
+            assert set(one[0].tolist()) <= set(idx.tolist()) and len(one[0]) == len(plain_features(x))
+            seen[x] = one[0][0]
+    for t in (None, "", " -- "):
+        assert len(features.counts(t)[0]) == 0
+
+
+def test_scores_are_those_of_brute_force(spark):
+    import numpy as np
+
+    rows, labels = toxic_corpus(300, seed=9)
+    rows += [(900, "other words"), (901, "vileword other"), (902, "")]
+    docs, lab = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, lab, examples=40).collect()}
+    text = {i: plain_features(t) for i, t in rows}
+    few = toxicity.told_apart(toxicity.featured(docs.selectExpr("doc_id id", "text").join(toxicity.sample(lab, "doc_id", "toxic", toxicity.TEACHERS), "id")), 40).collect()
+    y, weight = {r["id"]: r["toxic"] for r in few}, {r["id"]: r["weight"] for r in few}
+    chosen = [r["id"] for r in few if r["chosen"]]
+    part = {c: sum(weight[i] for i in y if y[i] == c) / sum(weight[i] for i in chosen if y[i] == c) for c in (0, 1)}
+    vocabulary = {x for i in chosen for x in text[i]}
+    size = [sum(1 for i in y if y[i] == c) for c in (0, 1)]
+    total = [sum(weight[i] for i in y if y[i] == c) for c in (0, 1)]
+    rarity = (total[0] / size[0]) / (total[1] / size[1])
+    mean = size[1] / (size[1] + rarity * size[0])
+
+    def worth(x):
+        a, b = (sum(1 for i in y if y[i] == c and x in text[i]) if x in vocabulary else 0 for c in (1, 0))
+        told = (a + toxicity.PRIOR * mean) / (a + rarity * b + toxicity.PRIOR)
+        gain = max(0.0, np.log(told / (1 - told)) - np.log(mean / (1 - mean)))
+        return (1 + np.log((len(rows) + 1) / (sum(x in t for t in text.values()) + 1))) * (toxicity.FLOOR + gain**2)
+
+    known = {x: worth(x) for x in {x for t in text.values() for x in t}}
+    vec = {i: {x: (1 + np.log(n)) * known[x] for x, n in t.items()} for i, t in text.items()}
+    norm = {i: np.sqrt(sum(w * w for w in v.values())) for i, v in vec.items()}
+
+    def vote(i, skip=None):
+        cos = {j: sum(w * vec[j].get(x, 0) for x, w in vec[i].items()) / norm[i] / norm[j] for j in chosen if j != skip and text[j] and text[i]}
+        best = sorted((j for j in cos if cos[j] > 0), key=lambda j: (-cos[j], j))[: toxicity.NEIGHBOURS]
+        if not best:
+            return None, {}
+        w = {j: weight[j] * part[y[j]] / (1.05 - min(1.0, cos[j])) for j in best}
+        return sum(w[j] * y[j] for j in best) / sum(w.values()), {j: cos[j] for j in best}
+
+    own = [(vote(i, skip=i)[0], y[i], weight[i] * part[y[i]]) for i in chosen if text[i]]
+    at, height = toxicity.rising(*(np.array(x, float) for x in zip(*[o for o in own if o[0] is not None], strict=True)))
+    for i, _ in rows:
+        raw, near = vote(i)
+        assert len(got[i]["evidence"]) == len(near), i
+        if near:
+            assert np.isclose(got[i]["cosine"], max(near.values()), atol=1e-4) and abs(got[i]["score"] - np.interp(raw, at, height)) < 0.01, i
+            assert np.allclose(sorted(near.values()), sorted(sum(w * vec[j].get(x, 0) for x, w in vec[i].items()) / norm[i] / norm[j] for j in got[i]["evidence"]), atol=1e-4)
+    assert sum(1 for i, t in rows if t and got[i]["evidence"]) >= len(rows) - 2
+
+
+def test_rising_steps():
+    import numpy as np
+
+    at, height = toxicity.rising(np.array([0.1, 0.2, 0.2, 0.5, 0.9]), np.array([0, 1, 0, 0, 1.0]), np.ones(5))
+    assert np.all(np.diff(height) >= 0) and np.all(np.diff(at) >= 0) and np.isclose(np.interp(0.3, at, height), 1 / 3)
