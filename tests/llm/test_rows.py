@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -124,25 +125,111 @@ def test_text_after_malformed_markup_stays(odd):
     assert html.main_text(f"<article><p>before {odd} after<p>last</article>") == "before after\nlast"
 
 
+@pytest.mark.parametrize("whole", ["<article style=\"overflow:hidden\">Text</article>", "<article aria-hidden=\"false\">Text</article>", "<main><p data-id=\"share-1\">Text</main>", "<body class=\"has-sidebar\"><article>Text</article>", "<html class=\"no-touch search-page\"><article>Text</article>", "<article class=\"post has-comments\"><header class=\"entry-header\">Text</header></article>"])
+def test_marks_of_other_attributes_hide_nothing(whole):
+    assert html.main_text(whole) == "Text"
+
+
+@pytest.mark.parametrize("around", ["<div class=site-header>x</div>", "<div id=Cookie_Notice>x</div>", "<div class='a sideBar'>x</div>", "<article class=comment>x</article>", "<p hidden>x</p>", "<div role=navigation>x</div>"])
+def test_surroundings_go(around):
+    assert html.main_text(f"<body>{around}<div><p>Text</div>") == "Text"
+
+
+def shapes(sources):
+    return [html.Page(s, True) for s in sources]
+
+
 def test_wrapper_is_inferred():
-    w = html.Wrapper()
-    for n, extra in ((1, ""), (3, "<hr>"), (2, "")):
-        w.add(html.Page(f"<html><body><ul>{'<li>x</li>' * n}</ul>{extra}<div><p>text {n}</p></div></body></html>"))
-    assert html.expression(w.shape) == "html body ul (li # /li)+ /ul (hr)? div p # /p /div /body /html"
-    other = html.Wrapper.load(w.dump())
-    other.merge(w)
-    assert other.shape == w.shape and other.n == 6
+    pages = shapes(f"<html><body><ul>{'<li>x</li>' * n}</ul>{extra}<div><p>text {n}</p></div></body></html>" for n, extra in ((1, ""), (3, "<hr>"), (2, "")))
+    assert html.expression(pages, "/html/body") == "(?:ul (?:li (?:\\# )/ )+/ )(?:hr / )?(?:div (?:p (?:\\# )/ )/ )".replace("\\#", "#")
+
+
+def random_page(rng, depth=0):
+    return "".join(f"<{t}>{random_page(rng, depth + 1) if depth < 4 and rng.random() < 0.7 else 'x'}</{t}>" for t in rng.choices(["div", "section", "ul", "h2", "table", "pre"], k=rng.randint(0, 4)))
+
+
+def test_every_page_matches_its_wrapper():
+    rng = random.Random(8)
+    for _ in range(30):
+        pages = shapes(random_page(rng) for _ in range(6))
+        whole = re.compile(html.expression(pages))
+        assert "|" not in whole.pattern
+        for p in pages:
+            assert whole.fullmatch("".join(f"{t} " for t in p.shape))
+    own, other = shapes(["<div>x</div>"] * 2), shapes(["<div><p>x</div>"])[0]
+    assert not re.fullmatch(html.expression(own), "".join(f"{t} " for t in other.shape))
+
+
+def test_diverse_and_deep_pages_are_quick(spark):
+    import time
+
+    rng = random.Random(3)
+    sources = ["".join(f"<{t} class=c{rng.randrange(40)}>w{i}</{t}>" for i, t in enumerate(rng.choices(["div", "p", "ul", "h3"], k=400))) for _ in range(200)]
+    sources += ["<div>" * 100_000 + "deep" + "</p>" * 100_000, "<p>" + "long &amp; " * 200_000]
+    at = time.time()
+    nodes = html.Nodes()
+    for s in sources:
+        nodes.add("h", s)
+    assert time.time() - at < 10 and html.main_text(sources[-2]) == "deep" and len(html.main_text(sources[-1])) == 7 * 200_000 - 1
+
+
+def plain_region(texts):
+    """A host's region and fixed paths as the docstring of ``regions`` says, from its pages' blocks."""
+    by: dict[str, dict[int, list]] = {}
+    for i, t in enumerate(texts):
+        for path, main, around, text, links in html.Page(t).blocks:
+            if not around:
+                by.setdefault(path, {}).setdefault(i, []).append((text, links, main))
+    off, data, mains = set(), [], []
+    for path, on in by.items():
+        same = len({"\n".join(x[0] for x in v) for v in on.values()}) == 1
+        main = any(x[2] for v in on.values() for x in v)
+        menu = any(path in html.Page(texts[i]).several for i in on) and sum(x[1] for v in on.values() for x in v) >= html.LINKS * sum(len("\n".join(x[0] for x in v)) for v in on.values())
+        if not main and len(on) * 2 >= len(texts) and ((same and len({texts[i] for i in on}) >= html.FIXED_PAGES) or menu):
+            off.add(path)
+        else:
+            data.append(path)
+            mains += [path] * main
+    paths = [p.split("/") for p in mains or data]
+    region = "/".join(x[0] for x in itertools.takewhile(lambda x: len(set(x)) == 1, zip(*paths, strict=False)))
+    varies = any(len({"\n".join(x[0] for x in v) for v in on.values()}) > 1 for on in by.values())
+    return region, sorted(off) if varies else []
+
+
+def test_regions_are_those_of_brute_force(spark):
+    rng, rows = random.Random(11), []
+    for h in range(12):
+        menu = "".join(f"<li><a href=x>m{h}{k}</a>" for k in range(4))
+        for i in range(rng.randint(1, 6)):
+            body = "".join(f"<p>word{rng.randrange(99)} of {i}</p>" for _ in range(rng.randint(1, 3))) + "<h2>Same heading</h2>" * rng.randint(0, 1)
+            box = rng.choice([f"<div class=b><section>{body}</section></div>", f"<div class=b><section>{body}</section></div>", f"<article>{body}</article>"])
+            page = f"<html><body><table><tr><td>Site {h}</table><ul>{menu}</ul>{box}<div>Fixed line</div></body></html>"
+            rows += [(len(rows) + k, f"http://h{h}/{i}", page, "x") for k in range(rng.choice([1, 1, 2]))]
+    df = spark.createDataFrame([(i, u, t, x, 7) for i, u, t, x in rows], "page_id bigint, url string, html string, region string, path int")
+    known = df.drop("region", "path").withColumn("host", urls.host_of(F.col("url")))
+    got = {r["host"]: (r["region"], r["off"]) for r in html.regions(html.infer(known)).collect()}
+    for h in {r["host"] for r in known.select("host").collect()}:
+        assert got[h] == plain_region([t for _, u, t, _ in rows if u.split("/")[2] == h]), h
+    out = {r["page_id"]: r["text"] for r in html.main_texts(df).collect()}
+    for i, u, t, _ in rows:
+        assert out[i] == html.main_text(t, got[u.split("/")[2]][0], frozenset(got[u.split("/")[2]][1]))
+    alone = {i: html.main_text(t) for i, _, t, _ in rows}
+    assert sum(alone[i] != out[i] for i in alone) > len(rows) / 3, "without the hosts' wrappers rows change"
+    patterns = {(r["host"], r["path"]): r["pattern"] for r in html.grammar(known).collect()}
+    assert patterns["h0", "/html/body"].startswith("(?:table )(?:ul )") and patterns["h0", "/html/body/ul"] == "(?:li )+"
 
 
 def test_fixed_parts_of_a_host_go(spark):
     page = lambda i: f"<html><body><table><tr><td><p>Site name</p></td></tr></table><blockquote><p>Story {i} with words</p><p>more of {i}</p></blockquote></body></html>"
     rows = [(i, f"http://h.example/{i}", page(i), "x") for i in range(6)] + [(50, None, None, "x"), (51, "no url", "", "x"), (52, "http://h.example/0", page(0), "x")]
+    rows += [(60 + i, "http://copies.example/", page(9) + "<pre>only here</pre>", "x") for i in range(4)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
     for shipped in (1 << 20, 0):
         known = df.withColumn("host", urls.host_of(F.col("url")))
-        got = {r["page_id"]: r for r in html.extract(known, html.infer(known), shipped).collect()}
-        assert got[3]["text"] == "Story 3 with words\nmore of 3" and got[52]["text"] == got[0]["text"]
+        got = {r["page_id"]: r for r in html.extract(known, html.regions(html.infer(known)), shipped).collect()}
+        assert len(got) == len(rows) and got[3]["text"] == "Story 3 with words\nmore of 3" and got[52]["text"] == got[0]["text"]
         assert got[50]["text"] == "" == got[51]["text"] and got[3]["n_chars"] == len(got[3]["text"])
+        assert got[61]["text"] == "Site name\nStory 9 with words\nmore of 9\nonly here", "copies of one page tell nothing apart"
     assert html.main_texts(df.limit(0)).count() == 0
 
 
