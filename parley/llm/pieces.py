@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding on the tokenizers library.
 
-The model protobuf gives the pieces, scores, normaliser and byte fallback; from these a tokenizers model is rebuilt. Of
-a text, runs between white space are encoded once per worker and kept: no piece holds the white-space mark after another
-character, so nothing ever merges across such a border and the parts' ids, joined, are the text's ids. Models whose
-pieces do cross borders are encoded text by text.
+The model protobuf gives the pieces, scores, normaliser and byte fallback; from these a tokenizers model is rebuilt that
+encodes whole texts in multithreaded batches and decodes ids. Very long texts are taken in segments that begin at a
+space after another character: no piece holds the white-space mark behind another character, so nothing ever merges
+across such a border. Each text's ids are held against those that SentencePiece itself, with the model as it is, gives
+for the raw text.
 """
 
 from __future__ import annotations
@@ -11,8 +12,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: A model file is shipped to the workers whole; larger ones are refused.
 MODEL_BYTES = 64 << 20
-#: Encoded parts that a worker keeps before it starts anew.
-KEPT = 200_000
+#: Runs of byte pieces that a worker remembers the characters of.
+KEPT = 50_000
 #: Characters of a text, or ids, that are taken at a time.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -60,14 +60,14 @@ class Pieces:
         usable = [p for p, _, t in self.pieces if t in (NORMAL, USER)]
         self.splits = train.escape_whitespaces if hasattr(train, "escape_whitespaces") else True
         self.splits = self.splits and not self.rewrites and not any(MARK in p.lstrip(MARK) for p in usable) and not any(t == USER for *_, t in self.pieces)
-        lines = not any("\n" in p and p != "\n" for p in usable) and train.byte_fallback
-        self.parts = re.compile(" *[^ \n]+|\n| +" if lines else " *[^ ]+| +").findall
         self.border = re.compile("[^ ](?= )")
-        self.bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else train.unk_surface.encode() if t == UNKNOWN else p.replace(MARK, " ").encode() for p, _, t in self.pieces]
-        self.memo: dict[str, bytes] = {}  # ids as int32, a fifth of what lists of them take
-        self.odd: set[str] = set()
-        self.plain = None
+        self.is_byte = np.array([t == BYTE for *_, t in self.pieces])
+        one = self.tokenizer.decode_batch([[i] for i in range(len(self.pieces))], skip_special_tokens=False)
+        self.shown = ["" if t == CONTROL else train.unk_surface if t == UNKNOWN else x for x, (*_, t) in zip(one, self.pieces, strict=True)]
+        self.met: dict[bytes, str] = {}
+        self.true = self.plain = None
         if verify:
+            self.true = SentencePieceProcessor(model_proto=proto)
             model.normalizer_spec.add_dummy_prefix = False
             model.normalizer_spec.remove_extra_whitespaces = False
             self.plain = SentencePieceProcessor(model_proto=model.SerializeToString())
@@ -90,43 +90,27 @@ class Pieces:
             text = re.sub(" +", " ", text).strip(" ")
         return f" {text}" if self.prefix and text else text
 
-    def _learn(self, parts: list[str]) -> None:
-        """Encode parts not met before, as one multithreaded batch, each held against SentencePiece's own ids, which stand where the two differ."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        if self.plain is not None:
-            true = self.plain.encode(parts, num_threads=1)
-            self.odd.update(p for p, a, b in zip(parts, ids, true, strict=True) if a != b)
-            ids = true
-        flat = np.fromiter(chain.from_iterable(ids), np.int32).tobytes()
-        ends = np.cumsum([0, *map(len, ids)]) * 4
-        self.memo.update((p, flat[a:b]) for p, a, b in zip(parts, ends.tolist(), ends[1:].tolist(), strict=False))
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text, as int32. ``parity`` tells of the text given last whether the rebuilt model alone gives these ids."""
-        if len(self.memo) > KEPT:
-            self.memo.clear()
-            self.odd.clear()
-        cut = [self.cut(self.normalised(t)) if len(t) <= SEGMENT else None for t in texts]
-        self._meet(p for p in cut if p)
-        for text, parts in zip(texts, cut, strict=True):
-            if parts is not None:
-                self.parity = not self.odd or self.odd.isdisjoint(parts)
-                yield self._ids(parts)
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str, bool]]:
+        """Of each text the ids as int32, the normalised text, and whether SentencePiece gives the same ids; where it doesn't, the ids are its own."""
+        whole = [self.normalised(t) for t in texts]
+        short = [i for i, t in enumerate(whole) if len(t) <= SEGMENT]
+        own = dict(zip(short, (e.ids for e in self.tokenizer.encode_batch_fast([whole[i] for i in short], add_special_tokens=False)), strict=True))
+        true = dict(zip(short, self.true.encode([texts[i] for i in short], num_threads=2), strict=True)) if self.true and short else own
+        for i, text in enumerate(whole):
+            if i in own:
+                ids, known = own[i], true[i]
+                yield np.array(ids if ids == known else known, np.int32), text, ids == known
                 continue
             found, parity = [], True
-            for segment in self.segments(self.normalised(text)):
-                parts = self.cut(segment)
-                self._meet([parts])
-                found.append(self._ids(parts))
-                parity = parity and self.odd.isdisjoint(parts)
-            self.parity = parity
-            yield np.concatenate(found)
-
-    def cut(self, whole: str) -> list[str]:
-        return self.parts(whole) if self.splits else [whole] if whole else []
+            for segment in self.segments(text):  # as the model that neither adds nor drops spaces encodes them
+                ids = self.tokenizer.encode(segment, add_special_tokens=False).ids
+                known = self.plain.encode(segment) if self.plain else ids
+                found.append(np.array(known, np.int32))
+                parity = parity and ids == known
+            yield np.concatenate(found), text, parity
 
     def segments(self, whole: str) -> Iterator[str]:
-        """A long text in segments that begin where a part may: at a space after another character."""
+        """A long text in segments that begin at a space after another character."""
         at = 0
         while at < len(whole):
             m = self.border.search(whole, at + SEGMENT) if self.splits and len(whole) - at > SEGMENT else None
@@ -134,19 +118,33 @@ class Pieces:
             yield whole[at:end]
             at = end
 
-    def _meet(self, cut: Iterable[list[str]]) -> None:
-        if new := list(set(chain.from_iterable(cut)).difference(self.memo)):
-            self._learn(new)
-
-    def _ids(self, parts: list[str]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, parts)), np.int32)
-
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: marks become spaces, byte pieces bytes, the leading space goes. Bytes that are no UTF-8 become U+FFFD."""
-        raw = b"".join(b"".join(map(self.bytes.__getitem__, ids[k : k + SEGMENT].tolist())) for k in range(0, len(ids), SEGMENT))
-        text = raw.decode("utf-8", "replace")
+        """The text of ids by the library's decoder: marks become spaces, byte pieces bytes, the leading space goes. Bytes that are no UTF-8 become U+FFFD.
+
+        A piece that is no byte is shown alike wherever it stands, so the decoder is asked for each once, and for runs of bytes.
+        """
+        out, at = [], 0
+        byte = self.is_byte[ids]
+        if byte.any():
+            turns = np.flatnonzero(byte[1:] != byte[:-1]) + 1
+            for end in [*turns.tolist(), len(ids)]:
+                out.append(self._run(ids[at:end]) if byte[at] else "".join(map(self.shown.__getitem__, ids[at:end].tolist())))
+                at = end
+        else:
+            out = [self.shown[i] for k in range(0, len(ids), SEGMENT) for i in ids[k : k + SEGMENT].tolist()]
+        text = "".join(out)
         return text[1:] if self.prefix and text.startswith(" ") else text
 
+    def _run(self, ids: np.ndarray) -> str:
+        key = ids.tobytes()
+        if (got := self.met.get(key)) is None:
+            if len(self.met) >= KEPT:
+                self.met.clear()
+            got = self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+            if len(ids) <= 16:
+                self.met[key] = got
+        return got
+
 
 _BUILT: dict[str, Pieces] = {}
 
@@ -162,13 +160,14 @@ def built(proto: bytes, verify: bool) -> Pieces:
     return _BUILT[key]
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", keep_ids: bool = True, verify: bool = True, chunk_chars: int = 4_000_000) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, text: str = "text", keep_ids: bool = True, verify: bool = True, chunk_chars: int = 500_000) -> DataFrame:
     """``docs`` without ``text``'s own column, with n_tokens, ids (if ``keep_ids``), ids_sha256, decoded_sha256, round_trip and parity.
 
     ids_sha256 is over the ids as little-endian int32, decoded_sha256 over the decoded UTF-8. round_trip: decoding gives
-    the normalised text. parity: the rebuilt model alone gives SentencePiece's ids; where it doesn't, the ids are
-    SentencePiece's. Without ``verify`` parity is true and untested. A null text counts as empty: no ids, round_trip true.
-    Other columns pass through; columns of the names above are replaced.
+    the normalised text. parity: the rebuilt model gives the ids that SentencePiece gives for the raw text (of a text over
+    SEGMENT characters, for its normalised segments); where it doesn't, the ids are SentencePiece's. Without ``verify``
+    parity is true and untested. A null text counts as empty: no ids, round_trip true. Repeated rows each get their row;
+    an empty table gives an empty one. Other columns pass through; columns of the names above are replaced.
     """
     if len(model) > MODEL_BYTES:
         raise ValueError(f"the model has {len(model)} bytes, more than {MODEL_BYTES}")
@@ -183,15 +182,14 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep_ids: bool = T
 
         def part(batch: pa.RecordBatch, at: int, texts: list[str]) -> pa.RecordBatch:
             n, ids, shas, back, same, parity = [], [], [], [], [], []
-            for t, got in zip(texts, pieces.encode(texts), strict=True):
+            for got, whole, equal in pieces.encode(texts):
                 decoded = pieces.decode(got)
                 n.append(len(got))
-                parity.append(pieces.parity)
+                parity.append(equal)
                 if keep_ids:
                     ids.append(got)
                 shas.append(hashlib.sha256(got.tobytes()).hexdigest())
                 back.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-                whole = pieces.normalised(t)
                 same.append(decoded == (whole[1:] if pieces.prefix else whole))
             own = batch.slice(at, len(texts))
             cols = [own.column(c) for c in rest] + [pa.array(n, pa.int64())]
