@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from parley.llm import ann, decontaminate, shards, simhash
@@ -218,27 +219,71 @@ def test_neighbours_of_few(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_shards(spark):
-    rows = [(i, "hot text") for i in range(700)] + [(1000 + i, f"pair {i // 2}") for i in range(800)] + [(5000 + i, f"single {i} é") for i in range(515)] + [(None, None), (9009, ""), (9009, ""), (9010, None)]
-    got = shards.assign(docs_of(spark, rows)).collect()
-    assert len(got) == len(rows)
+def held_law(got, rows, n=40):
     by = {}
     for r in got:
         by.setdefault(r["shard"], []).append(r["slot"])
-    assert sorted(by) == list(range(40)) and all(sorted(s) == list(range(len(s))) for s in by.values())
-    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
-    size = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got}
-    from zlib import crc32
-
-    assert all(size[i] == (len((t or "").encode()) + 16, crc32((t or "").encode())) for i, t in rows)
+    assert len(got) == len(rows) and set(by) <= set(range(n)) and all(sorted(s) == list(range(len(s))) for s in by.values())
+    counts = [len(by.get(s, [])) for s in range(n)]
+    assert max(counts) - min(counts) <= 1
     groups = {}
     for r in got:
         groups.setdefault(r["text_group"], []).append(r["shard"])
-    pairs = [s for s in groups.values() if len(s) == 2]
-    assert sum(len(set(s)) == 1 for s in pairs) > 0.8 * len(pairs)
-    hot = sorted(max(groups.values(), key=len))
-    counts = sorted((hot.count(s) for s in set(hot)), reverse=True)
-    assert sum(counts[:16]) >= 0.75 * len(hot)  # of 40 shards; it needs 14
+    return groups
+
+
+def plain_cuts(got):
+    links = cut = 0
+    texts = {}
+    for i, r in enumerate(got):
+        texts.setdefault(r["text_group"], []).append(i)
+    for rows in texts.values():
+        for x in range(len(rows)):
+            for y in range(x):
+                links += 1
+                cut += got[rows[x]]["shard"] != got[rows[y]]["shard"]
+    return links, cut
+
+
+def test_shards(spark):
+    from zlib import crc32
+
+    rows = [(i, "hot text") for i in range(700)] + [(1000 + i, f"pair {i // 2}") for i in range(800)] + [(5000 + i, f"single {i} é") for i in range(515)] + [(None, None), (9009, ""), (9009, ""), (9010, None)]
+    df = docs_of(spark, rows)
+    found = shards.assign(df)
+    got = found.collect()
+    groups = held_law(got, rows)
+    size = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got}
+    assert all(size[i] == (len((t or "").encode()) + 16, crc32((t or "").encode())) for i, t in rows)
+    quota = len(rows) // 40
+    assert all(len(set(s)) == 1 for s in groups.values() if len(s) <= quota), "no group that fits is cut"
+    hot = max(groups.values(), key=len)
+    assert len(set(hot)) == -(-len(hot) // quota)  # as few shards as can hold it
+    measured = shards.cuts(found).first()
+    assert (measured["links"], measured["cut"]) == plain_cuts(got) and measured["cut_groups"] == 1
+    again = shards.assign(df.repartition(7).orderBy(F.desc("doc_id"))).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got)), "files and their order don't matter"
+
+
+def test_shards_of_groups_of_all_sizes(spark):
+    rng = random.Random(12)
+    sizes = [rng.choice([2, 2, 3, 5, 8, 13, 21, 34]) for _ in range(60)] + [50] * 9
+    rows = [(1000 * g + i, f"group {g}") for g, n in enumerate(sizes) for i in range(n)] + [(-i, f"single {i}") for i in range(1, 120)]
+    got = shards.assign(docs_of(spark, rows), shards=12).collect()
+    groups = held_law(got, rows, 12)
+    quota = len(rows) // 12
+    assert max(sizes) <= quota and all(len(set(s)) == 1 for s in groups.values())
+    # Three groups in two shards: one of them can't be whole.
+    tight = [(10 * g + i, f"group {g}") for g in range(3) for i in range(4)]
+    groups = held_law(shards.assign(docs_of(spark, tight), shards=2).collect(), tight, 2)
+    assert sum(len(set(s)) > 1 for s in groups.values()) == 1
+
+
+def test_shards_of_few(spark):
     assert shards.assign(docs_of(spark, [])).count() == 0
-    few = shards.assign(docs_of(spark, [(1, "a"), (1, "a"), (2, None)])).collect()
-    assert sorted(r["slot"] for r in few) == [0, 0, 0]
+    few = [(1, "a"), (1, "a"), (2, None)]
+    got = shards.assign(docs_of(spark, few)).collect()
+    held_law(got, few)
+    assert sorted(r["slot"] for r in got) == [0, 0, 0]
+    same = [(7, "alike")] * 90
+    held_law(shards.assign(docs_of(spark, same)).collect(), same)
