@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,42 @@ def flat_chunks(text: str | None, chunk: int = 1 << 20):
         at = end
 
 
+class Stretches:
+    """Hashes of stretches of a text, any number at once.
+
+    The hash is a polynomial over the bytes modulo 2**64: of a text's running sums, the difference between two places
+    tells the stretch between them.
+    """
+
+    BASE, UNBASE, SPREAD = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64), 0xD6E8FEB86659FD93
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def read(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Takes words with spaces between; where each begins and ends, in the text with a space put before it."""
+        self.at = at = np.frombuffer(b" " + raw + b" ", np.uint8)
+        if (n := len(at)) > len(self.up):
+            n = 1 << (n - 1).bit_length()
+            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, base, np.uint64))]) for base in (self.BASE, self.UNBASE))
+        space = at == 32
+        starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+        if len(starts):
+            self.sums = np.zeros(len(at) + 1, np.uint64)
+            np.cumsum(at * self.up[: len(at)], out=self.sums[1:])
+        return starts, ends
+
+    def hashes(self, low: np.ndarray, high: np.ndarray, kinds: np.ndarray | int = 1) -> np.ndarray:
+        """Hashes of the stretches from ``low`` to ``high``, other ones for other kinds."""
+        h = (self.sums[high] - self.sums[low]) * self.down[low] + np.asarray(kinds, np.uint64) * np.uint64(self.BASE)
+        return mixed(h)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(Stretches.SPREAD)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
 def space_chunks(text: str | None, chunk: int = 1 << 22):
     """What stands between ASCII white space, A-Z lower-cased, as UTF-8; in parts as ``word_chunks``."""
     if text:
