@@ -15,20 +15,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_chunks, forget, word_chunks, written
+from .common import Stretches, flat_chunks, forget, word_chunks, written
 
 #: Bounds of the labelled sample, taken in order of a hash of the ids: rows of each class that tell what features mean,
 #: and those of them that are indexed as examples.
-TEACHERS, EXAMPLES = 6000, 1000
+TEACHERS, EXAMPLES = 6000, 500
 #: Lengths of the beginnings in characters, and the buckets (a power of two) that documents of features no example has are
 #: counted in; such features only lengthen a text's vector.
 BEGINNINGS, BUCKETS = (3, 5, 7), 1 << 20
 #: What a feature weighs that tells nothing of toxicity, and the rows by which its share of toxic rows is drawn to the mean.
 FLOOR, PRIOR = 0.5, 5.0
-NEIGHBOURS, BLOCK, COMMON, THRESHOLD = 15, 64, 12, 0.7
+NEIGHBOURS, BLOCK, COMMON, THRESHOLD = 15, 128, 12, 0.7
 #: Answers to equal texts that a worker keeps before it starts anew.
 KEPT = 30_000
 
@@ -62,45 +62,27 @@ def signature(text: str | None) -> int:
 
 
 class Features:
-    """Hashed features of words: the word itself and its beginnings, cut between characters.
-
-    The hash is a polynomial over the bytes modulo 2**64: of a text's running sums, the difference between two places
-    tells the stretch between them, so all stretches of a text are hashed at once.
-    """
-
-    BASE, UNBASE, SPREAD = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64), 0xD6E8FEB86659FD93
+    """Hashed features of words: the word itself and its beginnings, cut between characters."""
 
     def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if n > len(self.up):
-            n = 1 << (n - 1).bit_length()
-            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, base, np.uint64))]) for base in (self.BASE, self.UNBASE))
+        self.stretches = Stretches()
 
     def _numbers(self, raw: bytes) -> np.ndarray:
         """The features of all words of lower-cased UTF-8 with spaces between, repeats included."""
-        at = np.frombuffer(b" " + raw + b" ", np.uint8)
-        self._powers(len(at))
-        space = at == 32
-        starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+        starts, ends = self.stretches.read(raw)
         if not len(starts):
             return np.zeros(0, np.int64)
-        sums = np.zeros(len(at) + 1, np.uint64)
-        np.cumsum(at * self.up[: len(at)], out=sums[1:])
-        letters = np.flatnonzero((at & 0xC0) != 0x80)
-        nth = np.searchsorted(letters, starts)
-        out = [self._hashed(sums, starts, ends, 1)]
+        low, high = [starts], [ends]
+        if wide := not raw.isascii():
+            letters = np.flatnonzero((self.stretches.at & 0xC0) != 0x80)
+            nth = np.searchsorted(letters, starts)
         for k in BEGINNINGS:
-            until = letters[np.minimum(nth + k, len(letters) - 1)]
+            until = letters[np.minimum(nth + k, len(letters) - 1)] if wide else starts + k
             longer = until < ends
-            out.append(self._hashed(sums, starts[longer], until[longer], k + 1))
-        return np.concatenate(out)
-
-    def _hashed(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int) -> np.ndarray:
-        h = (sums[ends] - sums[starts]) * self.down[starts] + np.uint64(kind * self.BASE & (1 << 64) - 1)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(self.SPREAD)
-        return (h ^ (h >> np.uint64(29))).view(np.int64)
+            low.append(starts[longer])
+            high.append(until[longer])
+        kinds = np.repeat(np.arange(1, len(low) + 1), [len(x) for x in low])
+        return self.stretches.hashes(np.concatenate(low), np.concatenate(high), kinds)
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of a text's features, sorted, and how often each stands in it; none for null and for texts without words."""
@@ -113,12 +95,33 @@ class Features:
         return idx, tf.astype(np.int32)
 
 
-def slots(vocabulary: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """The place of each feature in the sorted vocabulary; behind it, one of BUCKETS by its hash for those that it hasn't."""
-    at = np.searchsorted(vocabulary, features)
-    known = at < len(vocabulary)
-    known[known] = vocabulary[at[known]] == features[known]
-    return np.where(known, at, len(vocabulary) + (features & (BUCKETS - 1)))
+class Vocabulary:
+    """Sorted features, found by their leading bits: features are hashes, so a few share them at most."""
+
+    def __init__(self, features: np.ndarray):
+        self.features, bits = features, max(4, len(features).bit_length() + 1)
+        self.shift = np.int64(64 - bits)
+        self.half = 1 << (bits - 1)
+        self.first = np.searchsorted(features >> self.shift, np.arange(-self.half, self.half + 1)).astype(np.int32)
+        self.most = int(np.diff(self.first).max(initial=0))
+
+    def __len__(self) -> int:
+        return len(self.features)
+
+    def slots(self, features: np.ndarray) -> np.ndarray:
+        """The place of each feature; behind the vocabulary, one of BUCKETS by its hash for those that it hasn't."""
+        out = len(self.features) + (features & (BUCKETS - 1))
+        if len(self.features):
+            lead = (features >> self.shift) + self.half
+            at, left = self.first[lead].astype(np.int64), self.first[lead + 1] - self.first[lead]
+            where = np.flatnonzero(left)
+            for k in range(self.most):
+                same = self.features[at[where] + k] == features[where]
+                out[where[same]] = at[where[same]] + k
+                where = where[~same & (left[where] > k + 1)]
+                if not len(where):
+                    break
+        return out
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -265,9 +268,9 @@ class Voter:
         w = self.weight[at] / (1.05 - np.minimum(cos, 1))
         return float((w * self.toxic[at]).sum() / w.sum()), at, cos
 
-    def of(self, features: Features, vocabulary: np.ndarray, text: str | None) -> tuple[float, list, float]:
+    def of(self, features: Features, vocabulary: Vocabulary, text: str | None) -> tuple[float, list, float]:
         idx, tf = features.counts(text)
-        return self.score(slots(vocabulary, idx), tf)
+        return self.score(vocabulary.slots(idx), tf)
 
     def score(self, idx: np.ndarray, tf: np.ndarray) -> tuple[float, list, float]:
         """The calibrated score, the ids of the nearest examples as evidence, and the nearest one's cosine. Equal counts are answered once."""
@@ -303,12 +306,16 @@ def featured(texts: DataFrame) -> DataFrame:
     return texts.select(F.monotonically_increasing_id().alias("u"), "id", "text", "toxic", "weight").mapInArrow(run, f"u bigint, id {kind}, toxic int, weight double, sig bigint, idx array<bigint>, tf array<int>")
 
 
-def told_apart(rows: DataFrame, examples: int) -> DataFrame:
-    """u, id, toxic, weight and chosen of ``featured`` rows: one row of an id, of copies and near copies the one of the least id with the weight of all; chosen are the first ``examples`` of a class."""
+def told_apart(rows: DataFrame) -> DataFrame:
+    """u, id, toxic and weight of ``featured`` rows: one row of an id, and of copies and near copies the one of the least id with the weight of all."""
     one = rows.groupBy("id").agg(F.min(F.struct(F.xxhash64("idx", "tf"), "u", "toxic", "weight", "sig")).alias("x")).select("id", "x.u", "x.toxic", "x.weight", "x.sig")
-    apart = one.groupBy("sig", "toxic").agg(F.min(F.struct("id", "u")).alias("x"), F.sum("weight").alias("weight")).select("x.u", "x.id", "toxic", "weight")
-    nth = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))  # of a bounded sample
-    return apart.withColumn("chosen", nth <= examples)
+    return one.groupBy("sig", "toxic").agg(F.min(F.struct("id", "u")).alias("x"), F.sum("weight").alias("weight")).select("x.u", "x.id", "toxic", "weight")
+
+
+def chosen(rows: DataFrame, examples: int) -> DataFrame:
+    """The first ``examples`` rows of each class by a hash of their ids."""
+    toxic, other = (rows.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(examples) for y in (1, 0))
+    return toxic.unionByName(other)
 
 
 def tallied(rows: DataFrame, vocabulary: Broadcast) -> DataFrame:
@@ -319,8 +326,8 @@ def tallied(rows: DataFrame, vocabulary: Broadcast) -> DataFrame:
         n = np.zeros(len(known) + BUCKETS, np.int64)
         for batch in batches:
             for t in batch.column("text"):
-                at = slots(known, features.counts(t.as_py())[0])
-                n[np.unique(at)] += 1
+                at = known.slots(features.counts(t.as_py())[0])
+                np.add.at(n, at, 1)
         at = np.flatnonzero(n)
         for k in range(0, len(at), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)].astype(np.int32)), pa.array(n[at[k : k + (1 << 16)]])], names=["at", "n"])
@@ -336,7 +343,7 @@ def taught(rows: DataFrame, vocabulary: Broadcast) -> DataFrame:
         n = np.zeros((2, len(known)), np.int64)
         for batch in batches:
             for idx, toxic in zip(batch.column("idx"), batch.column("toxic").to_pylist(), strict=True):
-                at = slots(known, idx.values.to_numpy())
+                at = known.slots(idx.values.to_numpy())
                 n[toxic, at[at < len(known)]] += 1
         at = np.flatnonzero(n.sum(0))
         if len(at):
@@ -357,20 +364,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str = "t
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     drawn = written(sample(labels, key, label, teachers), "sample")
     vecs = written(featured(rows.join(F.broadcast(drawn), "id")), "teachers")  # at most 2 * teachers rows of numbers, as drawn
-    few = written(told_apart(vecs, examples), "examples")
-    sums = {(r["toxic"], r["chosen"]): (r["n"], r["w"]) for r in few.groupBy("toxic", "chosen").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
-    size = lambda y, i: sum(x[i] for (t, _), x in sums.items() if t == y)
-    n_toxic, n_other = size(1, 0), size(0, 0)
-    rarity = (size(0, 1) / n_other) / (size(1, 1) / n_toxic) if n_toxic and n_other else 1.0
-    scale = {y: size(y, 1) / sums[y, True][1] for y in (0, 1) if (y, True) in sums}
-    own = vecs.select("u", "idx", "tf").join(F.broadcast(few.where("chosen")), "u").select("id", "idx", "tf", "toxic", "weight").toArrow()
+    few = written(told_apart(vecs), "apart")
+    sums = {r["toxic"]: (r["n"], r["w"]) for r in few.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+    (n_toxic, one), (n_other, other) = sums.get(1, (0, 0.0)), sums.get(0, (0, 0.0))
+    rarity = (other / n_other) / (one / n_toxic) if n_toxic and n_other else 1.0
+    own = vecs.select("u", "idx", "tf").join(F.broadcast(chosen(few, examples)), "u").select("id", "idx", "tf", "toxic", "weight").toArrow()
     found = sorted(zip(own["id"].to_pylist(), [x.values.to_numpy() for x in own["idx"]], [x.values.to_numpy() for x in own["tf"]], own["toxic"].to_pylist(), own["weight"].to_pylist(), strict=True), key=lambda x: x[0])
-    vocabulary = np.unique(np.concatenate([np.zeros(0, np.int64), *(x[1] for x in found)]))
+    scale = {y: sums[y][1] / max(1e-9, sum(x[4] for x in found if x[3] == y)) for y in sums}
+    vocabulary = Vocabulary(np.unique(np.concatenate([np.zeros(0, np.int64), *(x[1] for x in found)])))
     shipped = spark.sparkContext.broadcast(vocabulary)
     width = len(vocabulary) + BUCKETS
     told = taught(vecs.join(F.broadcast(few.select("u")), "u"), shipped).toArrow()
     held = dense(tallied(rows, shipped).toArrow(), "n", width)
-    found = [(i, slots(vocabulary, idx), tf, y, w * scale[y]) for i, idx, tf, y, w in found]
+    found = [(i, vocabulary.slots(idx), tf, y, w * scale[y]) for i, idx, tf, y, w in found]
     voter = Voter(found, rows.count(), held, dense(told, "a", width), dense(told, "b", width), len(vocabulary), n_toxic, n_other, rarity)
     for table in (drawn, vecs, few):
         forget(table)
