@@ -34,6 +34,11 @@ def _urls() -> str:
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p, _ in ordered)
     verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in ordered)
+    name = "host"
+    for pattern in urls.STRIPPED:
+        name = f"regexp_replace({name}, '{pattern}', '')"
+    number, two = f"regexp_matches(name, '{urls.ADDRESS}')", f"regexp_matches(name, '{urls.TWO_LABELS}')"
+    last = lambda n: f"regexp_extract(name, '([^.]*[.]){{0,{n - 1}}}[^.]*$')"
     a, b, ctes = "(c.mean * s.s + c.bad)", "((1 - c.mean) * s.s + c.n - c.bad)", []
     low, high = urls.LEAST_STRENGTH, urls.MOST_STRENGTH
     for level, parent in (("suffix", None), ("domain", "suffix"), ("host", "domain")):
@@ -47,7 +52,8 @@ def _urls() -> str:
     return f"""
 WITH parts AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 known AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-hosts AS (SELECT host, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, count(k.bad) AS n, coalesce(sum(k.bad), 0) AS bad FROM parts LEFT JOIN known k USING (page_id) GROUP BY host),
+named AS (SELECT host, {name} AS name, count(k.bad) AS n, coalesce(sum(k.bad), 0) AS bad FROM parts LEFT JOIN known k USING (page_id) GROUP BY host),
+hosts AS (SELECT host, n, bad, CASE WHEN {number} THEN name WHEN {two} THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {number} THEN name WHEN {two} THEN {last(2)} ELSE {last(1)} END AS suffix FROM named),
 {", ".join(ctes)},
 post AS (SELECT host, n, bad, mean, greatest(0, mean - {urls.DEVIATIONS} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) AS low FROM host_post)
 SELECT p.page_id, p.host, p.path, CASE {rule} END AS rule, CASE {verdict} WHEN low > {urls.THRESHOLD} THEN 'block' ELSE 'allow' END AS verdict, n::BIGINT AS labelled, bad::BIGINT AS bad, round(mean, 9) AS bad_rate, round(low, 9) AS bad_low

@@ -11,10 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, written
+from .common import forget, lower_ascii, written
 
 #: (host, path, verdict) of the fixed rules.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+#: Labels under a country's that domains are registered below, and suffixes that many owners share (fixed values).
+SECOND = "ac asn co com edu firm gen go gob gouv gov gv id ind info ltd me mil ne net nhs nom or org plc police res sch school tm web".split()
+SHARED = "blogspot.com github.io gitlab.io herokuapp.com netlify.app pages.dev vercel.app web.app wordpress.com".split()
+#: User, port and final dots, which go from a host; an address of numbers; and hosts whose suffix has two labels.
+STRIPPED = ("^.*@", ":[0-9]*$", "[.]+$")
+ADDRESS = r"^([0-9.]+|\[.*\])$"
+TWO_LABELS = f"(^|[.])(({'|'.join(SECOND)})[.][a-z][a-z]|{'|'.join(x.replace('.', '[.]') for x in SHARED)})$"
 #: Blocked if the mean less so many standard deviations of the posterior is over the threshold.
 DEVIATIONS, THRESHOLD = 1.645, 0.5
 #: Bounds of the fitted prior strength, in pages.
@@ -41,8 +48,17 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 
 
 def domains(host: Column) -> tuple[Column, Column]:
-    """A host's registered domain (its last two labels) and suffix (its last label)."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+    """A host's registered domain and its suffix, without user, port and final dots.
+
+    The suffix is the last label, or the last two if they are a SECOND one under a country's two letters, or one of SHARED;
+    the registered domain has one label more. An address of numbers is its own domain and suffix.
+    """
+    name = host
+    for pattern in STRIPPED:
+        name = F.regexp_replace(name, pattern, "")
+    number, two = name.rlike(ADDRESS), name.rlike(TWO_LABELS)
+    last = lambda n: F.substring_index(name, ".", -n)
+    return F.when(number, name).when(two, last(3)).otherwise(last(2)), F.when(number, name).when(two, last(2)).otherwise(last(1))
 
 
 def strength(level: DataFrame) -> Column:
@@ -57,8 +73,8 @@ def strength(level: DataFrame) -> Column:
     return F.coalesce(F.least(F.lit(MOST_STRENGTH), F.greatest(F.lit(LEAST_STRENGTH), F.try_divide(1 - rho, rho))), F.lit(MOST_STRENGTH))
 
 
-def reputation(hosts: DataFrame) -> DataFrame:
-    """host, n, bad, mean, low (the posterior's) of every host. ``hosts``: host, domain, suffix, n and bad (labelled pages, of them bad)."""
+def reputation(hosts: DataFrame, tables: list[DataFrame] | None = None) -> DataFrame:
+    """host, n, bad, mean, low (the posterior's) of every host. ``hosts``: host, domain, suffix, n and bad (labelled pages, of them bad). Tables written on the way are added to ``tables``."""
     whole = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("mean"))
     above = None
     for level in ("suffix", "domain", "host"):
@@ -71,6 +87,8 @@ def reputation(hosts: DataFrame) -> DataFrame:
         a, b = F.col("mean") * F.col("s") + F.col("bad"), (1 - F.col("mean")) * F.col("s") + F.col("n") - F.col("bad")
         post = post.select(level, "n", "bad", a.alias("a"), b.alias("b"))
         post = written(post, f"{level}-reputation")
+        if tables is not None:
+            tables.append(post)
         above = post.select(level, (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"))
     a, b = F.col("a"), F.col("b")
     mean = a / (a + b)
@@ -94,7 +112,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
         .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
         .select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad")
     )
-    known_hosts = written(reputation(written(hosts, "hosts")), "reputation")  # pages are read once for this, however often levels look at the counts
+    tables = [written(hosts, "hosts")]  # pages are read once for this, however often levels look at the counts
+    known_hosts = written(reputation(tables[0], tables), "reputation")
+    for table in tables:
+        forget(table)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("low") > threshold, "block").otherwise("allow")
     return parts.join(known_hosts, "host", "left").select(
