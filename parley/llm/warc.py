@@ -21,8 +21,8 @@ from .common import shared_dir, written
 
 #: Payloads shorter than this are always stored.
 LEAST = 1000
-#: Bytes after which an archive is closed, that a task's share of a file spans, that one read spans, and that lie between ranges of one read.
-ROLL, DEAL, SPAN, GAP = 256 << 20, 32 << 20, 4 << 20, 64 << 10
+#: Bytes after which an archive is closed, that a task reads, that one read spans, and that lie between ranges of one read.
+ROLL, DEAL, SPAN, GAP = 256 << 20, 64 << 20, 4 << 20, 64 << 10
 LEVEL, DATE = 6, "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id bigint, url string, file string, offset bigint, length bigint, digest string, payload_bytes bigint, record_type string, refers_to bigint"
@@ -169,7 +169,10 @@ def read(index: DataFrame, folder: str, payload: bool = True) -> DataFrame:
         if source is not None:
             source.close()
 
-    dealt = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / DEAL)).sortWithinPartitions("file", "offset")
+    # Index rows are tiny beside what they stand for, so the number of tasks is told by the bytes to be read; each has a stretch of neighbouring records.
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-size // DEAL), min(index.sparkSession.sparkContext.defaultParallelism, size >> 20))
+    dealt = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, schema)
 
 
