@@ -1,14 +1,17 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
 Documents are read in shards of about a million words. Over each shard's word ids a suffix array is built, and every
-suffix of every benchmark item is found in it by binary search; the places that share a whole window with it are hit. A
-shard's array leaves out stretches that hold too few benchmark words in a row to contain any window, so it is complete
-for what is asked. No text is shuffled. The benchmark is taken in blocks of bounded size, one pass for each block.
+suffix of every benchmark item is found in it by binary search; the places that share a whole window with it are hit.
+(Suffixes shorter than a window can only match within what a longer one matches; a shard's array leaves out stretches
+that hold too few benchmark words in a row to contain any window. So both are complete for what is asked.) At each place
+hit, the longest verbatim match with any item is taken from the items' own suffix array. No text is shuffled. The
+benchmark lies in the shared folder in blocks of bounded size, which tasks read one after another.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -16,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_chunks, words_of
+from .common import shared_dir, store, word_chunks, words_of
 
 WINDOW = 10
-#: Words of a shard, and UTF-8 bytes of benchmark text that one pass holds.
-SHARD_WORDS, BLOCK_BYTES = 1 << 20, 2 << 20
+#: Words of a shard, UTF-8 bytes of benchmark text in a block, and of documents that a task holds while it reads block after block.
+SHARD_WORDS, BLOCK_BYTES, HELD_BYTES = 1 << 20, 2 << 20, 48 << 20
 
 
 def suffix_array(stream: np.ndarray) -> np.ndarray:
@@ -48,6 +51,20 @@ def suffix_array(stream: np.ndarray) -> np.ndarray:
     return order
 
 
+STEP = 16
+
+
+def common(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """How many words from ``at`` in ``a`` and from ``to`` in ``b`` on are alike; zeros end both, and STEP of them stand behind either."""
+    n, open_ = np.zeros(len(at), np.int64), np.arange(len(at))
+    while len(open_):
+        x = a[(at + n)[open_][:, None] + np.arange(STEP)]
+        run = np.cumprod((x == b[(to + n)[open_][:, None] + np.arange(STEP)]) & (x != 0), axis=1).sum(1)
+        n[open_] += run
+        open_ = open_[run == STEP]
+    return n
+
+
 class Block:
     """Benchmark items as word ids; windows are its distinct suffixes cut to the window's length."""
 
@@ -55,8 +72,10 @@ class Block:
         self.window, self.vocab, self.names = window, {}, sorted({i for i, _ in items})
         number = {x: k for k, x in enumerate(self.names)}
         rows: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
+        self.texts: list[tuple[int, tuple[int, ...]]] = []  # in order of the items' names
+        for item, text in sorted(items):
             ids = tuple(self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text))
+            self.texts.append((number[item], ids))
             for at in range(max(1, len(ids) - window + 1)) if ids else ():
                 rows.setdefault(ids[at : at + window], set()).add(number[item])
         self.length = np.array([len(w) for w in rows], np.int64)
@@ -66,6 +85,42 @@ class Block:
             self.words[k, : len(w)] = w
         self.owner_at = np.cumsum([0, *(len(s) for s in rows.values())])
         self.owners = np.array([x for s in rows.values() for x in sorted(s)], np.int64)
+        self.order: np.ndarray | None = None
+
+    def own_array(self) -> None:
+        """The items' own suffix array, made when a first place is hit."""
+        if self.order is None:
+            starts = np.cumsum([0, *(len(t) + 1 for _, t in self.texts)])
+            self.stream = np.zeros(starts[-1] + STEP, np.int64)
+            for at, (_, t) in zip(starts, self.texts, strict=False):
+                self.stream[at : at + len(t)] = t
+            self.starts, self.item = starts[:-1], np.array([i for i, _ in self.texts], np.int64)
+            self.order = suffix_array(self.stream[: starts[-1]])
+
+    def longest(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The words of the longest match with any item that begins at each place of a shard (padded by STEP zeros)."""
+        self.own_array()
+        low = self._bound(stream, at, np.full(len(at), np.iinfo(np.int64).max), False)
+        near = [common(stream, at, self.stream, self.order[np.clip(x, 0, len(self.order) - 1)]) for x in (low - 1, low)]
+        return np.maximum(*near)
+
+    def witness(self, stream: np.ndarray, at: np.ndarray, length: np.ndarray) -> list[tuple[str, int]]:
+        """The first item by name, and the place in it, that has the ``length`` words of each place."""
+        low, high = self._bound(stream, at, length, False), self._bound(stream, at, length, True)
+        first = np.array([self.order[a:b].min() for a, b in zip(low.tolist(), high.tolist(), strict=True)], np.int64)
+        row = np.searchsorted(self.starts, first, "right") - 1
+        return [(self.names[i], p) for i, p in zip(self.item[row].tolist(), (first - self.starts[row]).tolist(), strict=True)]
+
+    def _bound(self, stream: np.ndarray, at: np.ndarray, length: np.ndarray, upper: bool) -> np.ndarray:
+        """By binary search, the first of the items' suffixes not below each place's ``length`` words (upper: nor beginning with them)."""
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.order))
+        while (open_ := low < high).any():
+            mid = (low + high) // 2
+            suffix = self.order[np.minimum(mid, len(self.order) - 1)]
+            same = np.minimum(common(stream, at, self.stream, suffix), length)
+            less = np.where(same == length, upper, self.stream[suffix + same] < stream[at + same])
+            low, high = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, high)
+        return low
 
     def ids(self, text: str | None) -> np.ndarray:
         """The words of a text as ids; 0 for words that no item has."""
@@ -108,30 +163,54 @@ class Block:
         return place[order[at]], np.repeat(np.arange(len(n)), n)
 
 
-def shard_rows(block: Block, docs: list[np.ndarray]) -> list[tuple[np.ndarray, list[str], int]]:
-    """Of each document: the words hit (a boolean each), the items with windows in it, and the longest stretch hit."""
+class Found:
+    """What a document holds: its number of words, the words hit, the items with windows in it, and its longest match: words, where it begins in the document, the item, and where in the item."""
+
+    def __init__(self, n: int):
+        self.hit, self.items, self.best = np.zeros(n, bool), set(), (0, 0, "", 0)
+
+    def add(self, hit: np.ndarray, items: list[str], best: tuple[int, int, str, int]) -> None:
+        self.hit |= hit
+        self.items.update(items)
+        self.best = min(self.best, best, key=lambda x: (-x[0], *x[1:]))
+
+
+def shard_rows(block: Block, docs: list[np.ndarray]) -> list[tuple[np.ndarray, list[str], tuple[int, int, str, int]]]:
+    """Of each document: the words hit (a boolean each), the items with windows in it, and the longest match (see ``Found``)."""
     starts = np.cumsum([0, *(len(d) + 1 for d in docs)])
-    stream = np.zeros(starts[-1], np.int64)
+    stream = np.zeros(starts[-1] + STEP, np.int64)
     for s, d in zip(starts, docs, strict=False):
         stream[s : s + len(d)] = d
-    at, window = block.matches(stream)
-    cover = np.zeros(len(stream) + 1, np.int64)
+    at, there = block.matches(stream[: starts[-1]])
+    if not len(at):
+        return [(np.zeros(len(d), bool), [], (0, 0, "", 0)) for d in docs]
+    cover = np.zeros(starts[-1] + 1, np.int64)
     np.add.at(cover, at, 1)
-    np.add.at(cover, at + block.length[window], -1)
+    np.add.at(cover, at + block.length[there], -1)
     hit = np.cumsum(cover)[:-1] > 0
+    # A window's owners are looked up once a document, however often it stands there.
+    n_windows = len(block.length)
+    once = np.unique((np.searchsorted(starts, at, "right") - 1) * n_windows + there)
+    doc, window = once // n_windows, once % n_windows
     owner_n = np.diff(block.owner_at)[window]
     which = np.repeat(block.owner_at[window] - np.concatenate([[0], np.cumsum(owner_n)[:-1]]), owner_n) + np.arange(owner_n.sum())
-    doc = np.searchsorted(starts, np.repeat(at, owner_n), "right") - 1
-    pairs = np.unique(doc * max(1, len(block.names)) + block.owners[which])
+    pairs = np.unique(np.repeat(doc, owner_n) * len(block.names) + block.owners[which])
     items: dict[int, list[str]] = {}
     for p in pairs.tolist():
         items.setdefault(p // len(block.names), []).append(block.names[p % len(block.names)])
-    out = []
-    for k, (s, d) in enumerate(zip(starts, docs, strict=False)):
-        own = hit[s : s + len(d)]
-        gaps = np.flatnonzero(~np.concatenate([[False], own, [False]])) if own.any() else np.array([0, 1])
-        out.append((own, items.get(k, []), int(np.diff(gaps).max()) - 1))
-    return out
+    # The longest match begins where a window does. Places with whole windows are extended; at others a short item stands.
+    order = np.lexsort((-block.length[there], at))
+    first = order[np.concatenate([[True], at[order][1:] != at[order][:-1]])]
+    at, there = at[first], there[first]
+    length, whole = block.length[there].copy(), block.length[there] == block.window
+    length[whole] = block.longest(stream, at[whole])
+    doc = np.searchsorted(starts, at, "right") - 1
+    order = np.lexsort((at, -length, doc))
+    first = order[np.concatenate([[True], doc[order][1:] != doc[order][:-1]])]
+    shown = iter(block.witness(stream, at[first][whole[first]], length[first][whole[first]]))
+    who = [next(shown) if w else (block.names[block.owners[block.owner_at[t]]], 0) for w, t in zip(whole[first].tolist(), there[first].tolist(), strict=True)]
+    best = {d: (n, p, *w) for d, n, p, w in zip(doc[first].tolist(), length[first].tolist(), (at - starts[doc])[first].tolist(), who, strict=True)}
+    return [(hit[s : s + len(d)], items.get(k, []), best.get(k, (0, 0, "", 0))) for k, (s, d) in enumerate(zip(starts, docs, strict=False))]
 
 
 def _spans(hit: np.ndarray) -> list[int]:
@@ -139,52 +218,86 @@ def _spans(hit: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).tolist()
 
 
+def in_blocks(benchmark: DataFrame, item: str, item_text: str, block_bytes: int) -> tuple[str, int]:
+    """The benchmark written in blocks to the shared folder, an item's rows in one block: the folder and the number of blocks."""
+    parts = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t"))
+    size = parts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = max(1, -(-size // block_bytes))
+    path = f"{shared_dir(benchmark.sparkSession)}/parley-benchmark-{uuid.uuid4().hex}"
+    parts.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(n))).repartition(n, "b").write.partitionBy("b").parquet(path)
+    return path, n
+
+
+class Blocks:
+    """The benchmark's blocks, of which one at a time is held."""
+
+    def __init__(self, path: str, n: int, window: int):
+        self.path, self.n, self.window = path, n, window
+        self.at, self.block = -1, None
+
+    def load(self, b: int) -> Block:
+        if b != self.at:
+            import pyarrow.parquet as pq
+            from pyarrow import fs
+
+            where, top = store(self.path)
+            files = [f.path for f in where.get_file_info(fs.FileSelector(f"{top}/b={b}", allow_not_found=True)) if f.path.endswith(".parquet")]
+            rows = [r for f in files for r in pq.ParquetFile(where.open_input_file(f)).read(["i", "t"]).to_pylist()]
+            self.at, self.block = b, Block([(r["i"], r["t"]) for r in rows], self.window)
+        return self.block
+
+    def found(self, texts: list[str | None]) -> list[Found]:
+        """What each text holds. The last block stays, so the next texts meet the blocks the other way round."""
+        out: list[Found] = []
+        for turn, b in enumerate(range(self.n) if self.at <= 0 else range(self.n - 1, -1, -1)):
+            block, docs, first, n = self.load(b), [], 0, 0
+            for i, text in enumerate(texts):
+                docs.append(block.ids(text))
+                n += len(docs[-1])
+                if n >= SHARD_WORDS or i == len(texts) - 1:
+                    if turn == 0:
+                        out += [Found(len(d)) for d in docs]
+                    for k, row in enumerate(shard_rows(block, docs)):
+                        out[first + k].add(*row)
+                    docs, first, n = [], i + 1, 0
+        return out
+
+    def run(self, batches: Iterator[pa.RecordBatch], column: str, rows: Callable[[pa.RecordBatch, list[Found]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``rows`` of each stretch of a batch that is small enough to be held."""
+        most = HELD_BYTES if self.n > 1 else 8 * SHARD_WORDS
+        for batch in batches:
+            col, at, texts, size = batch.column(column), 0, [], 0
+            for i in range(batch.num_rows):
+                texts.append(col[i].as_py())
+                size += len(texts[-1] or "")
+                if size >= most or i == batch.num_rows - 1:
+                    yield rows(batch.slice(at, len(texts)), self.found(texts))
+                    at, texts, size = i + 1, [], 0
+
+
 def locate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document row: ``key``, n_words, spans (start and end of each stretch hit, alternately, in words), items
-    (sorted as strings) and longest (words of the longest stretch).
+    (sorted as strings), and the longest verbatim match: longest (words), longest_at (where it begins in the document),
+    longest_item, item_at (where in the item). Of matches as long, the first in the document, then of the first item by name.
 
-    Null texts have no words. Items without words, or with a null id, match nothing; rows of one id are one item. Repeated
-    document rows each get their row. An empty benchmark hits nothing.
+    Null and empty texts have no words. Items without words, or with a null id, match nothing; rows of one id are one
+    item. Repeated document rows each get their row; other columns are not read. An empty benchmark hits nothing; the
+    last three are null without a hit. Very long texts are read in parts and held as a number a word.
     """
-    parts = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t"))
-    size = parts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n_blocks = max(1, -(-size // block_bytes))
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_words bigint, spans array<int>, items array<string>, longest int, t string"
-    out = docs.select(F.col(key), F.lit(0).cast("bigint").alias("n_words"), F.expr("cast(array() as array<int>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), F.lit(0).alias("longest"), F.col(text).alias("t"))
-    for b in range(n_blocks):
-        own = parts if n_blocks == 1 else parts.where(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == b)
-        out = out.mapInArrow(_pass([tuple(r) for r in own.collect()], window, key, b == n_blocks - 1), schema)
-    return out.drop("t")
+    path, n_blocks = in_blocks(benchmark, item, item_text, block_bytes)
+    kind = docs.schema[key].dataType.simpleString()
+    kinds = {"n_words": pa.int64(), "spans": pa.list_(pa.int32()), "items": pa.list_(pa.string()), "longest": pa.int32(), "longest_at": pa.int32(), "longest_item": pa.string(), "item_at": pa.int32()}
 
+    def rows(batch: pa.RecordBatch, found: list[Found]) -> pa.RecordBatch:
+        told = [(len(f.hit), _spans(f.hit), sorted(f.items), f.best[0], *(f.best[1:] if f.best[0] else (None,) * 3)) for f in found]
+        cols = list(zip(*told, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([batch.column("k"), *(pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True))], names=["k", *kinds])
 
-def _pass(items: list[tuple[str, str]], window: int, key: str, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(items, window)
-
-        def shard(batch: pa.RecordBatch, at: int, docs: list[np.ndarray]) -> pa.RecordBatch:
-            own = batch.slice(at, len(docs))
-            spans, names, longest = [], [], []
-            for (hit, found, most), was, had, long in zip(shard_rows(block, docs), own.column("spans").to_pylist(), own.column("items").to_pylist(), own.column("longest").to_pylist(), strict=True):
-                for s, e in zip(was[::2], was[1::2], strict=True):
-                    hit[s:e] = True
-                spans.append(_spans(hit))
-                names.append(sorted({*had, *found}))
-                longest.append(max(most, long))
-            t = pa.nulls(len(docs), pa.string()) if last else own.column("t")
-            return pa.RecordBatch.from_arrays([own.column(key), pa.array([len(d) for d in docs], pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string())), pa.array(longest, pa.int32()), t], names=[key, "n_words", "spans", "items", "longest", "t"])
+        yield from Blocks(path, n_blocks, window).run(batches, "t", rows)
 
-        for batch in batches:
-            col, at, docs, n = batch.column("t"), 0, [], 0
-            for i in range(batch.num_rows):
-                docs.append(block.ids(col[i].as_py()))
-                n += len(docs[-1])
-                if n >= SHARD_WORDS:
-                    yield shard(batch, at, docs)
-                    at, docs, n = i + 1, [], 0
-            if docs:
-                yield shard(batch, at, docs)
-
-    return run
+    schema = f"k {kind}, n_words bigint, spans array<int>, items array<string>, longest int, longest_at int, longest_item string, item_at int"
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
 def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -194,31 +307,18 @@ def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select(
         key, "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), F.col("longest").alias("longest_hit"),
+        "longest_at", "longest_item", "item_at",
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark window; all their columns."""
-    parts = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
-    size = parts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n_blocks = max(1, -(-size // block_bytes))
-
-    def keep(items: list[tuple[str, str]]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Block(items, window)
-            for batch in batches:
-                col, docs_, n, good = batch.column(text), [], 0, []
-                for i in range(batch.num_rows):
-                    docs_.append(block.ids(col[i].as_py()))
-                    n += len(docs_[-1])
-                    if n >= SHARD_WORDS or i == batch.num_rows - 1:
-                        good += [not hit.any() for hit, *_ in shard_rows(block, docs_)]
-                        docs_, n = [], 0
-                yield batch.filter(pa.array(good, pa.bool_()))
-
-        return run
-
-    for b in range(n_blocks):
-        own = parts if n_blocks == 1 else parts.where(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == b)
-        docs = docs.mapInArrow(keep([tuple(r) for r in own.collect()]), docs.schema)
-    return docs
+    """``docs`` without the rows that hold a benchmark window; all their columns, whatever their names.
+
+    Null and empty texts stay; repeated rows are judged alike; an empty benchmark, or one without words or ids, takes none.
+    """
+    path, n_blocks = in_blocks(benchmark, "item_id", "text", block_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from Blocks(path, n_blocks, window).run(batches, text, lambda batch, found: batch.filter(pa.array([not f.hit.any() for f in found], pa.bool_())))
+
+    return docs.mapInArrow(run, docs.schema)

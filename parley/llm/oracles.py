@@ -16,17 +16,19 @@ FROM d LEFT JOIN k ON d.digest = k.digest"""
 _WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 DECONTAMINATE = f"""
-WITH b AS (SELECT item_id, {_WORDS.format(t="text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-win AS (SELECT DISTINCT item_id, least({WINDOW}, len(w)) AS size, array_to_string(w[i:i + least({WINDOW}, len(w)) - 1], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1)) AS i FROM b WHERE len(w) > 0)),
+WITH b AS (SELECT item_id, row_number() OVER () AS r, {_WORDS.format(t="text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+win AS (SELECT item_id, r, i - 1 AS off, least({WINDOW}, len(w)) AS size, array_to_string(w[i:i + least({WINDOW}, len(w)) - 1], ' ') AS gram FROM (SELECT item_id, r, w, unnest(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1)) AS i FROM b WHERE len(w) > 0)),
 d AS (SELECT doc_id, coalesce({_WORDS.format(t="text")}, []) AS w FROM documents),
 spots AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM win) WHERE len(w) >= size),
-hit AS (SELECT DISTINCT a.doc_id, a.i, a.size, win.item_id FROM (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS gram FROM spots) a JOIN win ON win.size = a.size AND win.gram = a.gram),
+hit AS (SELECT DISTINCT a.doc_id, a.i, a.size, win.item_id, win.r, win.off FROM (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS gram FROM spots) a JOIN win ON win.size = a.size AND win.gram = a.gram),
 places AS (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS p FROM hit),
-runs AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM places) GROUP BY doc_id, run),
-found AS (SELECT doc_id, sum(n)::BIGINT AS n_hit, max(n)::INT AS longest FROM runs GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
+runs AS (SELECT doc_id, item_id::VARCHAR AS name, min(i) - 1 AS doc_at, min(off) AS item_at, count(*) + min(size) - 1 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, r, size, i - off ORDER BY i) AS run FROM hit) GROUP BY doc_id, r, item_id, size, i - off, run),
+longest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, doc_at, name, item_at) = 1),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
-SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(f.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items, sha256(coalesce(i.names, '')) AS items_sha256, f.n_hit IS NOT NULL AS contaminated, coalesce(f.longest, 0)::INT AS longest_hit
-FROM d LEFT JOIN found f USING (doc_id) LEFT JOIN items i USING (doc_id)"""
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(f.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items, sha256(coalesce(i.names, '')) AS items_sha256, f.n_hit IS NOT NULL AS contaminated,
+  coalesce(l.n, 0)::INT AS longest_hit, l.doc_at::INT AS longest_at, l.name AS longest_item, l.item_at::INT AS item_at
+FROM d LEFT JOIN found f USING (doc_id) LEFT JOIN items i USING (doc_id) LEFT JOIN longest l USING (doc_id)"""
 
 
 def _urls() -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import shared_dir, store, written
 
 #: Payloads shorter than this are always stored.
 LEAST = 1000
@@ -29,15 +29,6 @@ INDEX = "page_id bigint, url string, file string, offset bigint, length bigint,
 NAMES = [x.split()[0] for x in INDEX.split(", ")]
 
 
-def store(folder: str):
-    """The file system of a folder's URI, and the folder's path in it. Workers reach it without a JVM."""
-    from pyarrow import fs
-
-    if "://" not in folder:
-        folder = "file://" + folder.removeprefix("file:")
-    return fs.FileSystem.from_uri(folder)
-
-
 def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}')}>"
 

@@ -148,6 +148,41 @@ def plain_hits(docs, items, window):
     return out
 
 
+def plain_longest(text, by_item, contaminated, window=10):
+    """The longest match of at least a window, or of a whole short item: words, place in the document, item, place in the item."""
+    words, best = WORD.findall(lower(text)), (0, None, None, None)
+    found = []
+    for item, texts in by_item.items():
+        for w in (WORD.findall(lower(t)) for t in texts):
+            for o in range(len(w)):
+                for p in range(len(words)):
+                    n = 0
+                    while o + n < len(w) and p + n < len(words) and w[o + n] == words[p + n]:
+                        n += 1
+                    if n >= min(window, len(w)) and n:
+                        found.append((-n, p, str(item), o))
+    if found:
+        n, *rest = min(found)
+        best = (-n, *rest)
+    assert bool(found) == contaminated
+    return best
+
+
+def test_neighbouring_items_make_no_longer_match(spark):
+    words = [f"w{i}" for i in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(words[:10])), (2, " ".join(words[10:]))], "item_id bigint, text string")
+    got = decontaminate.report(decontaminate.locate(docs_of(spark, [(1, "x " + " ".join(words) + " y")]), bench)).first()
+    assert (got["n_hit"], got["longest_hit"], got["longest_at"], got["longest_item"], got["item_at"]) == (20, 10, 1, "1", 0)
+
+
+def test_very_long_text_is_decontaminated(spark, monkeypatch):
+    item = " ".join(f"q{i}" for i in range(30))
+    text = "word other " * 300_000 + item + " tail" * 100_000
+    bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    got = decontaminate.report(decontaminate.locate(docs_of(spark, [(1, text), (2, text[:-5])]), bench)).collect()
+    assert [(r["n_words"], r["n_hit"], r["longest_hit"], r["longest_at"]) for r in sorted(got, key=lambda r: r["doc_id"])] == [(700_030, 30, 30, 600_000), (700_029, 30, 30, 600_000)]
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 60])
 def test_decontamination(spark, block_bytes):
     rng = random.Random(5)
@@ -155,7 +190,8 @@ def test_decontamination(spark, block_bytes):
     text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
     items = [(i, text(rng.randint(5, 25))) for i in range(12)] + [(20, "Short One"), (21, ""), (22, None), (None, "v1 v2"), (2, "a second row of item two that has more than ten words in it")]
     docs = [(i, text(rng.randint(0, 60))) for i in range(60)]
-    docs += [(100 + i, text(9) + ", " + items[i][1].upper() + "! " + text(30)) for i in range(10)] + [(200, None), (201, ""), (202, "?!"), (203, "a SHORT-one here short one"), (204, items[0][1])]
+    docs += [(100 + i, text(9) + ", " + items[i][1].upper() + "! " + text(30)) for i in range(10)] + [(200, None), (201, ""), (202, "?!"), (203, "a SHORT-one here short one"), (204, items[0][1]), (205, "x short one then v1 v2 y")]
+    items += [(30, "then short one then follows a longer text of more than ten words"), (31, "short one then")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     found = decontaminate.locate(docs_of(spark, docs), bench, block_bytes=block_bytes)
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.report(found).collect()}
@@ -168,6 +204,8 @@ def test_decontamination(spark, block_bytes):
         more = plain_hits(docs, [(i, t)], 10)
         assert not any(m[1] for m in more.values())
     assert got == want and sum(v[4] for v in got.values()) >= 12
+    for r in found.collect():
+        assert (r["longest"], r["longest_at"], r["longest_item"], r["item_at"]) == plain_longest(dict(docs)[r["doc_id"]], by_item, bool(want[r["doc_id"]][1])), r
     kept = decontaminate.clean(docs_of(spark, docs), bench, block_bytes=block_bytes)
     assert kept.columns == ["doc_id", "text", "lang", "k", "g", "fp"]
     assert {r["doc_id"] for r in kept.collect()} == {i for i, v in want.items() if not v[4]}
