@@ -3,20 +3,27 @@
 Each projection keeps the vectors' values in one sorted array. A query opens a window around its own value in each array
 and widens all windows together (virtual rehashing, so no array is built anew) until enough vectors fell into the windows
 of at least a threshold share of the projections; these are verified by their exact inner products. Largest inner product
-is made nearest distance by one more coordinate that brings all vectors to the same length. Vectors are indexed and
-searched in blocks of bounded size, every query block against every vector block.
+is made nearest distance by one more coordinate that brings all vectors to the same length. Vectors are indexed in
+blocks of bounded size, each once and written to the shared folder; the stated queries, written in blocks as well, stream
+past every index, so no vector is ever copied.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import forget, shared_dir, store, written
+
 K = 20
 #: Vectors and queries of a block.
-ROWS, QUERIES = 8192, 2048
+ROWS, QUERIES = 32768, 2048
 #: Projections, the share of them that must collide, the windows' growth, and the share of a block verified at least.
 PROJECTIONS, THRESHOLD, GROWTH, VERIFIED = 64, 0.8, 1.12, 0.25
 SEED = 17
@@ -89,43 +96,65 @@ def usable(df: DataFrame, key: str, vec: str) -> DataFrame:
     return df.select(F.col(key).cast("bigint").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(good, F.lit(False)))
 
 
+def stored(rows: DataFrame, folder: str, blocks: int, made) -> DataFrame:
+    """``rows`` (id, v) in blocks, each as ``made`` (ids and matrix to an object) in a file of its own; the files' names. A failed attempt leaves a file that no row names."""
+
+    def run(table: pa.Table) -> pa.Table:
+        where, top = store(folder)
+        where.create_dir(top, recursive=True)
+        name = f"{uuid.uuid4().hex}.block"
+        with where.open_output_stream(f"{top}/{name}", compression=None) as out:
+            out.write(pickle.dumps(made(table["id"].to_numpy(), _matrix(table["v"])), 5))
+        return pa.table({"file": pa.array([name], pa.string())})
+
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64("id", "v", "nth"), F.lit(blocks)).cast("int"))
+    return written(dealt.groupBy("b").applyInArrow(run, "file string"), "ann-files")
+
+
+def loaded(folder: str, name: str):
+    where, top = store(folder)
+    with where.open_input_stream(f"{top}/{name}", compression=None) as source:
+        return pickle.loads(source.read())  # written by ``stored``
+
+
 def search(data: DataFrame, queries: DataFrame, key: str = "vec_id", vec: str = "embedding", k: int = K, rows: int = ROWS, query_rows: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), ``key`` and score: each query's ``k`` largest inner products found among all rows of another id.
 
-    Fewer rows than ``k``: all. Ties go to the smaller id. Rows that repeat an id count as one candidate each, and none of
-    them is found for a query of that id. Vectors of another length than most take no part.
+    Fewer rows than ``k``: all. Ties go to the smaller id. Rows that repeat an id count as one candidate each (of rows
+    alike in id and vector ``k``, as no more can be found), and none of them is found for a query of that id. Of several
+    vectors of one query id the least is asked for. Vectors of another length than most take no part. Empty tables give
+    no rows; other columns are not read.
     """
-    points, asked = usable(data, key, vec), usable(queries, key, vec).dropDuplicates(["id"])
-    dim = points.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    if dim:
-        points, asked = (df.where(F.size("v") == dim[0]["dim"]) for df in (points, asked))
-    size = points.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).first()
-    n_queries = asked.count()
-    blocks, q_blocks, longest = max(1, -(-size["n"] // rows)), max(1, -(-n_queries // query_rows)), float(size["longest"] or 1.0)
-
-    def spread(df: DataFrame, own: int, other: int, names: tuple[str, str]) -> DataFrame:
-        mine = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int").alias(names[0])
-        return df.select("id", "v", mine, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(names[1]))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            block = Block(left["id"].to_numpy(), _matrix(left["v"]), longest)
-            for q, v in zip(right["id"].to_pylist(), _matrix(right["v"]), strict=True):
-                ids, scores = block.search(q, v, k)
-                out += zip([q] * len(ids), ids.tolist(), scores.tolist(), strict=True)
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    found = (
-        spread(points, blocks, q_blocks, ("b", "qb")).groupBy("b", "qb")
-        .cogroup(spread(asked, q_blocks, blocks, ("qb", "b")).groupBy("b", "qb"))
-        .applyInArrow(run, "query_id bigint, id bigint, score double")
-    )
+    alike = usable(data, key, vec).groupBy("id", "v").agg(F.count("*").alias("n"))
+    points = written(alike.select("id", "v", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)))).alias("nth")), "ann-vectors")
+    asked = usable(queries, key, vec).groupBy("id").agg(F.min("v").alias("v")).withColumn("nth", F.lit(1))
+    dim = points.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    n, longest = (dim[0]["n"], float(dim[0]["longest"])) if dim else (0, 1.0)
+    points, asked = (df.where(F.size("v") == (dim[0]["dim"] if dim else 0)) for df in (points, asked))
+    folder = f"{shared_dir(data.sparkSession)}/parley-ann-{uuid.uuid4().hex}"
+    blocks, q_blocks = max(1, -(-n // rows)), max(1, -(-asked.count() // query_rows))
+    files = stored(points, folder, blocks, lambda ids, vecs: Block(ids, vecs, longest))
+    # Names of query blocks, a row for each query_rows queries; each task opens one after another.
+    q_files = sorted(r["file"] for r in stored(asked, folder, q_blocks, lambda ids, vecs: (ids, vecs)).collect())
+    parts = max(1, min(len(q_files), -(-2 * data.sparkSession.sparkContext.defaultParallelism // blocks)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, part in zip(batch.column("file").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                block = loaded(folder, file)
+                for name in q_files[part::parts]:
+                    ids, vecs = loaded(folder, name)
+                    found = [block.search(q, v, k) for q, v in zip(ids.tolist(), vecs, strict=True)]
+                    out = [np.repeat(ids, [len(f[0]) for f in found]), *(np.concatenate(c) for c in zip(*found, strict=True))]
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "id", "score"])
+
+    tasks = files.select("file", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).repartition(blocks * parts)
+    found = tasks.mapInArrow(run, "query_id bigint, id bigint, score double")
+    forget(points)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
 
 
 def _matrix(col: pa.ChunkedArray) -> np.ndarray:
-    flat = col.combine_chunks()
+    flat = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     return np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)

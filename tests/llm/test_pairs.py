@@ -255,6 +255,23 @@ def test_neighbours_of_few(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, df.where("vec_id % 20 = 0")).collect()]
     assert sorted(got)[:4] == [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 20, 1.0), (0, 4, 3, 0.0)]
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
+    same = spark.createDataFrame([(0, [1.0, 0.5])] + [(4, [1.0, 1.0])] * 50 + [(0, [0.5, 0.5])], "vec_id bigint, embedding array<float>").repartition(5)
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(same, same.where("vec_id % 20 = 0")).collect()]
+    assert sorted(got) == [(0, i, 4, 1.0) for i in range(1, 21)], "of two vectors of a query the least, and as many of rows alike as can be found"
+
+
+def test_neighbours_in_several_blocks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in v], i, "f") for i, v in enumerate(rng.standard_normal((900, 16)))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, id bigint, file string")
+    exact = np.array([r[1] for r in rows], np.float64)
+    hits = 0
+    for r in ann.search(df, df.where("vec_id % 20 = 0"), rows=200, query_rows=10).collect():
+        scores = exact @ exact[r["query_id"]]
+        scores[r["query_id"]] = -np.inf
+        assert abs(r["score"] - scores[r["vec_id"]]) < 1e-9
+        hits += r["vec_id"] in np.argsort(-scores)[:20]
+    assert hits / (45 * 20) >= 0.95
 
 
 def held_law(got, rows, n=40):
