@@ -78,9 +78,31 @@ def spoken(c: Column) -> Column:
     return squeeze(F.regexp_replace(c, r"[*_`~]+", ""))
 
 
-def leading_drift(c: Column) -> Column:
-    """What stands before the first Latin letter or digit; a text drifts if a letter is in it."""
-    return F.regexp_extract(c, r"^[^\p{IsLatin}\p{N}]+", 0)
+#: Hangul, Japanese, Chinese and Cyrillic letters (fixed values); marks that may stand before and after a stray token.
+SCRIPTS = "[\uac00-\ud7af\u1100-\u11ff\u3040-\u30ff\u4e00-\u9fff\u0400-\u04ff]"
+BEFORE_DRIFT, AFTER_DRIFT = r"""[\s!.,?…:;\-–—()\[\]"']*""", r"[ \t!.,?…:;—–]*"
+
+
+def leading_drift(c: Column) -> tuple[Column, Column]:
+    """A reply without the token of another script that it opens with, and the token; null if there is none."""
+    token = F.nullif(F.regexp_extract(c, f"^{BEFORE_DRIFT}({SCRIPTS}+)", 1), F.lit(""))
+    return F.when(token.isNull(), c).otherwise(F.regexp_replace(c, f"^{BEFORE_DRIFT}{SCRIPTS}+{AFTER_DRIFT}", "")), token
+
+
+def degenerate_tail(c: Column, least: int = 3) -> Column:
+    """A text whose last word stands ``least`` times or more in a row, with one of them."""
+    return F.regexp_replace(c, rf"(?U)(\s)(\S+)(?:\s+\2){{{least - 1},}}\s*$", "$1$2")
+
+
+def continuation(c: Column) -> Column:
+    """A piece that goes on with a sentence, without the marks and spaces it begins with."""
+    return F.regexp_replace(c, r"^[\s,;:.…—–-]+", "")
+
+
+def add_punctuation(c: Column, mark: str = ".") -> Column:
+    """A text that ends with ``mark`` alone instead of the marks and spaces it ended with; empty stays empty."""
+    bare = strip_terminal(c)
+    return F.when(bare == "", F.lit("")).otherwise(F.concat(bare, F.lit(mark)))
 
 
 def repeated_run(c: Column, least: int = 6) -> Column:
@@ -94,30 +116,16 @@ def marker_count(words: Column, markers: list[str]) -> Column:
 
 
 def rating(c: Column) -> tuple[Column, Column]:
-    """The 0 to 5 rating in a judge's answer and how it was found: a strict field, a loose one, a digit at the end; else failed."""
-    strict = F.regexp_extract(c, r'"rating"\s*:\s*([0-5])\b', 1)
-    loose = F.regexp_extract(F.lower(c), r"rating[^0-9]{0,12}([0-5])\b", 1)
-    last = F.regexp_extract(c, r"\b([0-5])\s*$", 1)
-    how = F.when(strict != "", "strict").when(loose != "", "loose").when(last != "", "digit").otherwise("failed")
-    value = F.coalesce(F.nullif(strict, F.lit("")), F.nullif(loose, F.lit("")), F.nullif(last, F.lit("")))
+    """The rating in a judge's answer and how it was found: by the sentence asked for (strict), after as or como (loose), the last digit from 0 to 5 of the last 200 characters (digits), or failed."""
+    strict = F.regexp_extract(c, r"(?s)Analysis:\s*(.*?)\n\s*I would rate the AI's response as\s*(\d+)", 2)
+    loose = F.regexp_extract(c, r"(?i)(?:as|como)\s*(\d)", 1)
+    last = F.element_at(F.regexp_extract_all(F.right(c, F.lit(200)), F.lit(r"\b([0-5])\b"), F.lit(1)), -1)
+    found = F.regexp_count(F.right(c, F.lit(200)), F.lit(r"\b[0-5]\b")) > 0
+    how = F.when(strict != "", "strict").when(loose != "", "loose").when(found, "digits").otherwise("failed")
+    value = F.when(strict != "", strict).when(loose != "", loose).when(found, last)
     return value.cast("bigint"), how
 
 
-def money(c: Column, least: int = 300, most: int = 12000) -> Column:
-    """An amount named in a request: after a currency sign or budget word, with thousands separators or a k; null outside the bounds."""
-    low = F.lower(c)
-    thousands = F.regexp_extract(low, r"([0-9]+(?:\.[0-9]+)?)\s*k\b", 1)
-    marked = F.regexp_extract(low, r"(?:\$|€|r\$|under|below|budget|up to|até|menos de)\s*(?:of\s*)?(?:\$|€|r\$)?\s*([0-9][0-9.,]*)", 1)
-    suffix = F.regexp_extract(low, r"([0-9][0-9.,]*)\s*(?:dollars|euros|reais|usd|eur)", 1)
-    plain = lambda x: F.nullif(F.regexp_replace(x, r"[.,]", ""), F.lit("")).cast("double")
-    value = F.coalesce(F.nullif(thousands, F.lit("")).cast("double") * 1000, plain(marked), plain(suffix))
-    return F.when(value.between(least, most), value.cast("bigint"))
-
-
-def nights(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.lower(c), r"([0-9]{1,2})\s*(?:-\s*)?(?:nights?|noites?|days?|dias?)\b", 1), F.lit("")).cast("bigint")
-
-
 def signed(c: Column) -> Column:
     """A difference with its sign and three decimals."""
     return F.format_string("%+.3f", c)

@@ -1,3 +1,3 @@
 """Named queries. Importing this package registers all of them."""
 
-from . import conversations, dialogues, events, metrics, picks, relational, scores, streams, texts  # noqa: F401
+from . import conversations, dialogues, events, metrics, picks, relational, requests, scores, streams, texts  # noqa: F401

@@ -151,17 +151,6 @@ def filter_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("id", F.when(high.isNull() | (low <= high), low).alias("min_price"), high.alias("max_price"), num("max_nights", 1, 30).alias("max_nights"), F.try_element_at("f", F.lit("climate")).alias("climate"), F.try_element_at("f", F.lit("pace")).alias("pace"), tags.alias("tags"))
 
 
-@query("intent_classify", f"""
-WITH c AS (SELECT conv_id, turn, lower(text) AS t, len({ws("text")}) AS n FROM conversations WHERE role = 'user')
-SELECT CASE WHEN travel AND small THEN 'mixed' WHEN travel THEN 'travel' WHEN small OR n <= 4 THEN 'smalltalk' ELSE 'other' END AS intent, count(*) AS n FROM (SELECT *, regexp_matches(t, '\\b(the|that)\\b') AS travel, regexp_matches(t, '\\b(was|with|from)\\b') AS small FROM c) GROUP BY intent""")
-def intent_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An intent by which word lists a turn meets."""
-    t = F.lower("text")
-    one, two = t.rlike(r"\b(the|that)\b"), t.rlike(r"\b(was|with|from)\b")
-    intent = F.when(one & two, "mixed").when(one, "travel").when(two | (F.size(text.ws_words(F.col("text"))) <= 4), "smalltalk").otherwise("other")
-    return conversations(spark, sf_dir).where("role = 'user'").groupBy(intent.alias("intent")).agg(F.count("*").alias("n"))
-
-
 @query("word_timing", f"""
 WITH w AS (SELECT conv_id, turn, unnest(range(len(w))) AS pos, unnest(w) AS word, len(w) AS n FROM (SELECT conv_id, turn, {ws("text")} AS w FROM conversations WHERE role = 'assistant')),
 x AS (SELECT *, sum(length(word) + 1) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS so_far, sum(length(word) + 1) OVER (PARTITION BY conv_id, turn) AS total FROM w)

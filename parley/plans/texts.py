@@ -73,35 +73,23 @@ def language_marker_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang", guess.alias("guess")).agg(F.count("*").alias("n"))
 
 
-#: Short answers with what is around them, for the parsers.
+#: Judges' answers with what is around them.
 ANSWERS = [
-    (1, '{"rating": 4, "why": "clear"}'), (2, "Analysis first. Rating: 3 out of 5"), (3, "I'd say 2"), (4, "no idea"), (5, 'rating is about 5'), (6, '{"rating": 9}'), (7, ""),
-    (8, "Rating - 0"), (9, "between 3 and 4 "), (10, '{ "rating" : 1 } and so rating 5'),
+    (1, "Analysis: clear and short.\nI would rate the AI's response as 4"), (2, "Analysis: x\ny\n   I would rate the AI's response as  3 of 5"), (3, "Análise: bom.\nEu avaliaria a resposta como 2"), (4, "no idea"),
+    (5, "I'd rate it AS 5, or 1"), (6, "I would rate the AI's response as 4"), (7, ""), (8, "between 3 and 4 "), (9, "7 out of 10"), (10, "1" + " and so on" * 30), (11, "first 1" + " word" * 45 + " 0"), (12, "Analysis: none\nI would rate the AI's response as five"), (13, "score 12 or 3."),
 ]
 ANSWERS_SQL = "(VALUES " + ", ".join(f"({i}, '" + t.replace("'", "''") + "')" for i, t in ANSWERS) + ") v(id, t)"
 
 
-@query("judge_parse_cascade", f"""
-WITH p AS (SELECT id, regexp_extract(t, '"rating"\\s*:\\s*([0-5])\\b', 1) AS a, regexp_extract(lower(t), 'rating[^0-9]{{0,12}}([0-5])\\b', 1) AS b, regexp_extract(t, '\\b([0-5])\\s*$', 1) AS c FROM {ANSWERS_SQL})
-SELECT id::BIGINT AS id, coalesce(nullif(a, ''), nullif(b, ''), nullif(c, ''))::BIGINT AS rating, CASE WHEN a <> '' THEN 'strict' WHEN b <> '' THEN 'loose' WHEN c <> '' THEN 'digit' ELSE 'failed' END AS parsed FROM p""")
+@query("judge_parse_cascade", rf"""
+WITH p AS (SELECT id, regexp_extract(t, '(?s)Analysis:\s*(.*?)\n\s*I would rate the AI''s response as\s*(\d+)', 2) AS a, regexp_extract(t, '(?i)(as|como)\s*(\d)', 2) AS b, list_last(regexp_extract_all(right(t, 200), '\b([0-5])\b', 1)) AS c FROM {ANSWERS_SQL})
+SELECT id::BIGINT AS id, coalesce(nullif(a, ''), nullif(b, ''), c)::BIGINT AS rating, CASE WHEN a <> '' THEN 'strict' WHEN b <> '' THEN 'loose' WHEN c IS NOT NULL THEN 'digits' ELSE 'failed' END AS parsed FROM p""")
 def judge_parse_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rating by the sentence that the judge was asked for, a looser one, or the last digit near the end."""
     value, how = text.rating(F.col("t"))
     return spark.createDataFrame(ANSWERS, "id bigint, t string").select("id", value.alias("rating"), how.alias("parsed"))
 
 
-REQUESTS = [(1, "somewhere warm under $1,500 for 7 nights"), (2, "budget of 2k"), (3, "3000 euros, 10 days"), (4, "just browsing"), (5, "below 100"), (6, "up to 99,999 dollars"), (7, "menos de R$ 4.500 por 5 noites"), (8, "2 nights")]
-REQUESTS_SQL = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in REQUESTS) + ") v(id, t)"
-
-
-@query("money_parse", f"""
-WITH p AS (SELECT id, regexp_extract(lower(t), '([0-9]+(?:\\.[0-9]+)?)\\s*k\\b', 1) AS k, regexp_extract(lower(t), '(?:\\$|€|r\\$|under|below|budget|up to|até|menos de)\\s*(?:of\\s*)?(?:\\$|€|r\\$)?\\s*([0-9][0-9.,]*)', 1) AS m,
-  regexp_extract(lower(t), '([0-9][0-9.,]*)\\s*(?:dollars|euros|reais|usd|eur)', 1) AS s, regexp_extract(lower(t), '([0-9]{{1,2}})\\s*(?:-\\s*)?(?:nights?|noites?|days?|dias?)\\b', 1) AS n FROM {REQUESTS_SQL}),
-v AS (SELECT *, coalesce(nullif(k, '')::DOUBLE * 1000, nullif(regexp_replace(m, '[.,]', '', 'g'), '')::DOUBLE, nullif(regexp_replace(s, '[.,]', '', 'g'), '')::DOUBLE) AS value FROM p)
-SELECT id::BIGINT AS id, CASE WHEN value BETWEEN 300 AND 12000 THEN value::BIGINT END AS amount, nullif(n, '')::BIGINT AS nights FROM v""")
-def money_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(REQUESTS, "id bigint, t string").select("id", text.money(F.col("t")).alias("amount"), text.nights(F.col("t")).alias("nights"))
-
-
 CONFIGS = [(1, '{"a": 0.5, "b": "x"}'), (2, '{"recommended": {"a": 0.25, "c": 1}}'), (3, '{"thresholds": {"b": 0.75}, "note": 1}'), (4, "not json"), (5, "{}")]
 
 
@@ -116,13 +104,18 @@ def config_shape_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.where(F.col("value").isNotNull()).select("id", "name", "value")
 
 
-@query("non_latin_drift", """
-SELECT conv_id, turn, regexp_matches(regexp_extract(t, '^[^\\p{Latin}\\p{N}]+'), '\\p{L}') AS opens_odd, regexp_matches(t, '[^\\x00-\\x{024F}\\x{2010}-\\x{2027}]') AS any_odd FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 'да ' || text ELSE text END AS t FROM conversations)""")
+DRIFTED = "CASE turn % 4 WHEN 1 THEN '  да! ' || text WHEN 2 THEN text || ' 안녕' WHEN 3 THEN '(아) ' || text ELSE text END"
+
+
+@query("non_latin_drift", rf"""
+WITH t AS (SELECT conv_id, turn, {DRIFTED} AS t FROM conversations), x AS (SELECT *, regexp_extract(t, '^[\s!.,?…:;\-–—()\[\]"'']*([\x{{AC00}}-\x{{D7AF}}\x{{1100}}-\x{{11FF}}\x{{3040}}-\x{{30FF}}\x{{4E00}}-\x{{9FFF}}\x{{0400}}-\x{{04FF}}]+)', 1) AS token FROM t)
+SELECT conv_id, turn, nullif(token, '') AS token, length(regexp_replace(t, '^[\s!.,?…:;\-–—()\[\]"'']*[\x{{AC00}}-\x{{D7AF}}\x{{1100}}-\x{{11FF}}\x{{3040}}-\x{{30FF}}\x{{4E00}}-\x{{9FFF}}\x{{0400}}-\x{{04FF}}]+[ \t!.,?…:;—–]*', ''))::BIGINT AS n_left,
+  regexp_matches(t, '[\x{{AC00}}-\x{{D7AF}}\x{{1100}}-\x{{11FF}}\x{{3040}}-\x{{30FF}}\x{{4E00}}-\x{{9FFF}}\x{{0400}}-\x{{04FF}}]') AS any_odd, regexp_matches(trim(t), '^[\x{{AC00}}-\x{{D7AF}}\x{{1100}}-\x{{11FF}}\x{{3040}}-\x{{30FF}}\x{{4E00}}-\x{{9FFF}}\x{{0400}}-\x{{04FF}}]') AS opens_odd FROM x""")
 def non_latin_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns that open in another script, and those that hold any of it."""
-    t = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("да "), "text")).otherwise(F.col("text"))
-    rows = conversations(spark, sf_dir).select("conv_id", "turn", t.alias("t"))
-    return rows.select("conv_id", "turn", text.leading_drift(F.col("t")).rlike(r"\p{L}").alias("opens_odd"), F.col("t").rlike(r"[^\x00-ɏ‐-‧]").alias("any_odd"))
+    """The stray token of another script that a turn opens with and what is left without it; turns that hold any of these scripts, and that open with one."""
+    rows = conversations(spark, sf_dir).select("conv_id", "turn", F.expr(DRIFTED).alias("t"))
+    left, token = text.leading_drift(F.col("t"))
+    return rows.select("conv_id", "turn", token.alias("token"), F.length(left).cast("bigint").alias("n_left"), F.col("t").rlike(text.SCRIPTS).alias("any_odd"), F.trim("t").rlike(f"^{text.SCRIPTS}").alias("opens_odd"))
 
 
 @query("quota_sample", f"""
