@@ -13,6 +13,8 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ MODEL_BYTES = 64 << 20
 KEPT = 50_000
 #: Characters of a text, or ids, that are taken at a time.
 SEGMENT = 1 << 18
+#: Threads of a worker that encode parts of a batch at the same time.
+THREADS = 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -65,6 +69,7 @@ class Pieces:
         one = self.tokenizer.decode_batch([[i] for i in range(len(self.pieces))], skip_special_tokens=False)
         self.shown = ["" if t == CONTROL else train.unk_surface if t == UNKNOWN else x for x, (*_, t) in zip(one, self.pieces, strict=True)]
         self.met: dict[bytes, str] = {}
+        self.pool = ThreadPoolExecutor(THREADS)  # both libraries let other threads run while they encode
         self.true = self.plain = None
         if verify:
             self.true = SentencePieceProcessor(model_proto=proto)
@@ -94,8 +99,9 @@ class Pieces:
         """Of each text the ids as int32, the normalised text, and whether SentencePiece gives the same ids; where it doesn't, the ids are its own."""
         whole = [self.normalised(t) for t in texts]
         short = [i for i, t in enumerate(whole) if len(t) <= SEGMENT]
-        own = dict(zip(short, (e.ids for e in self.tokenizer.encode_batch_fast([whole[i] for i in short], add_special_tokens=False)), strict=True))
-        true = dict(zip(short, self.true.encode([texts[i] for i in short], num_threads=2), strict=True)) if self.true and short else own
+        parts = [short[k :: THREADS] for k in range(THREADS)]
+        own = dict(chain.from_iterable(self.pool.map(lambda part: zip(part, (e.ids for e in self.tokenizer.encode_batch_fast([whole[i] for i in part], add_special_tokens=False)), strict=True), parts)))
+        true = dict(chain.from_iterable(self.pool.map(lambda part: zip(part, self.true.encode([texts[i] for i in part], num_threads=1), strict=True), parts))) if self.true else own
         for i, text in enumerate(whole):
             if i in own:
                 ids, known = own[i], true[i]
@@ -153,8 +159,7 @@ def built(proto: bytes, verify: bool) -> Pieces:
     """One model a worker process."""
     key = hashlib.sha256(proto).hexdigest() + str(verify)
     if key not in _BUILT:
-        os.environ.setdefault("RAYON_NUM_THREADS", "2")
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # threads are ours: the library's own wait for work at a processor's full cost
         _BUILT.clear()
         _BUILT[key] = Pieces(proto, verify)
     return _BUILT[key]
