@@ -18,24 +18,37 @@ def words(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", "role", F.posexplode(ws_words(F.col("text"))).alias("pos", "word"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def cut_pieces(words_: Column, key: list[Column], cut: float = 0.45, most: int = 7, seed: str = "cut") -> Column:
+    """A turn's words as an array of pieces (piece, text, n_words, ends_turn): all in the turn's own row, so nothing is exchanged."""
+
+    def pieces_of(w: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | chance(cut, F.lit(seed), *key, i))
+        return let(F.concat(begins, F.array(F.size(w))), lambda b: let(starts_of(b), lambda s: made(w, s)))
+
+    def starts_of(b: Column) -> Column:  # every start, and the number of words
+        each = F.zip_with(F.slice(b, F.lit(1), F.size(b) - 1), F.slice(b, F.lit(2), F.size(b) - 1), lambda x, y: F.sequence(x, y - 1, F.lit(most)))
+        return F.concat(F.flatten(each), F.array(F.element_at(b, -1)))
+
+    def made(w: Column, s: Column) -> Column:
+        ends = F.slice(s, F.lit(2), F.size(s) - 1)
+        spans = F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), ends, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        return F.transform(spans, lambda p, k: F.struct(k.cast("bigint").alias("piece"), F.array_join(F.slice(w, p["x"] + 1, p["y"] - p["x"]), " ").alias("text"), (p["y"] - p["x"]).cast("bigint").alias("n_words"), (p["y"] == F.size(w)).alias("ends_turn")))
+
+    return let(words_, lambda w: F.when(F.size(w) > 0, pieces_of(w)))
+
+
 def pieces(turns: DataFrame, cut: float = 0.45, most: int = 7, seed: str = "cut") -> DataFrame:
     """conv_id, turn, role, piece (from 0), text, n_words, ends_turn.
 
     After each word a piece ends with probability ``cut``, drawn by the word's place; no piece has more than ``most``
-    words. Joined in order the pieces give all the words of the turn.
+    words. Joined in order the pieces give all the words of the turn. Turns without words give no rows.
     """
-    place = Window.partitionBy("conv_id", "turn").orderBy("pos")
-    cuts = F.when(F.col("pos") == 0, F.lit(1)).otherwise(chance(cut, F.lit(seed), F.col("conv_id"), F.col("turn"), F.col("pos")).cast("int"))
-    runs = words(turns).withColumn("run", F.sum(cuts).over(place))
-    in_run = Window.partitionBy("conv_id", "turn", "run").orderBy("pos")
-    parts = runs.withColumn("part", F.floor((F.row_number().over(in_run) - 1) / most))
-    made = parts.groupBy("conv_id", "turn", "role", "run", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
-    order = Window.partitionBy("conv_id", "turn").orderBy("run", "part")
-    after = Window.partitionBy("conv_id", "turn").orderBy(F.desc("run"), F.desc("part"))
-    return made.select(
-        "conv_id", "turn", "role", (F.row_number().over(order) - 1).cast("bigint").alias("piece"), F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("text"),
-        F.size("w").cast("bigint").alias("n_words"), (F.row_number().over(after) == 1).alias("ends_turn"),
-    )
+    return turns.select("conv_id", "turn", "role", F.inline(cut_pieces(ws_words(F.col("text")), [F.col("conv_id"), F.col("turn")], cut, most, seed)))
 
 
 def clocked(rows: DataFrame, by: list[str], order: list[str], n_words: str = "n_words") -> DataFrame:
