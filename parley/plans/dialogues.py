@@ -30,29 +30,6 @@ def sentence_chunker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", (F.row_number().over(order) - 1).cast("bigint").alias("piece"), F.array_join("part", " ").alias("text"), F.size("part").cast("bigint").alias("n_words"))
 
 
-@query("decision_families", f"""WITH {PIECES}, u AS (SELECT * FROM pieces WHERE role = 'user'),
-rows AS (SELECT 'partial' AS family, conv_id, turn, piece, text, 'wait' AS label FROM u WHERE NOT ends_turn UNION ALL SELECT 'final', conv_id, turn, piece, text, 'take' FROM u WHERE ends_turn
-  UNION ALL SELECT 'bare_final', conv_id, turn, piece, regexp_replace(text, '[.?!…,;:\\s]+$', ''), 'take' FROM u WHERE ends_turn AND regexp_matches(text, '[.?!…,;:]$')
-  UNION ALL SELECT 'marked_partial', conv_id, turn, piece, text || '?', 'wait' FROM u WHERE NOT ends_turn AND {draw("'mark'", "conv_id", "turn", "piece")} % 8 = 0
-  UNION ALL SELECT 'silence', conv_id, turn, piece, '', 'wait' FROM u WHERE {draw("'quiet'", "conv_id", "turn", "piece")} % 10 = 0
-  UNION ALL SELECT 'cut_final', conv_id, turn, piece, array_to_string({ws("text")}[1:(n_words + 1) // 2], ' '), 'wait' FROM u WHERE ends_turn AND n_words > 2)
-SELECT family, label, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM rows GROUP BY ALL""")
-def decision_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decision rows and their hard negatives: each family is a projection of the same pieces, made in one pass by exploding what applies."""
-    u = P.pieces(conversations(spark, sf_dir)).where("role = 'user'")
-    end, t = F.col("ends_turn"), F.col("text")
-    key = [F.col("conv_id"), F.col("turn"), F.col("piece")]
-    row = lambda family, body, label: F.struct(F.lit(family).alias("family"), body.alias("text"), F.lit(label).alias("label"))
-    half = F.array_join(F.slice(text.ws_words(t), F.lit(1), F.ceil(F.col("n_words") / 2).cast("int")), " ")
-    made = F.array(
-        F.when(~end, row("partial", t, "wait")), F.when(end, row("final", t, "take")), F.when(end & t.rlike("[.?!…,;:]$"), row("bare_final", text.strip_terminal(t), "take")),
-        F.when(~end & (hashing.draw(F.lit("mark"), *key) % 8 == 0), row("marked_partial", F.concat(t, F.lit("?")), "wait")), F.when(hashing.draw(F.lit("quiet"), *key) % 10 == 0, row("silence", F.lit(""), "wait")),
-        F.when(end & (F.col("n_words") > 2), row("cut_final", half, "wait")),
-    )
-    rows = u.select(F.explode(F.array_compact(made)).alias("r")).select("r.*")
-    return rows.groupBy("family", "label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
-
-
 @query("scenario_tasks", f"""
 WITH t AS (SELECT conv_id, turn, text, len({ws("text")})::BIGINT AS n, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer, role FROM conversations)
 SELECT conv_id, turn, 'task-' || lpad(conv_id::VARCHAR, 7, '0') || '-' || turn AS sid, CASE WHEN n <= 3 THEN 'backchannel' WHEN turn % 4 = 0 THEN 'pause' WHEN turn % 4 = 2 THEN 'interruption' ELSE 'smooth' END AS task, answer IS NOT NULL AS answered FROM t WHERE role = 'user'""")
