@@ -160,18 +160,6 @@ def content_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("role").agg(F.count("*").alias("n"), F.round(F.avg((F.col("text") == F.col("before")).cast("int")), 6).alias("repeat_rate"), F.round(F.avg((F.trim("text") == "").cast("int")), 6).alias("empty_rate"), F.round(F.avg(F.size(text.ws_words(F.col("text")))), 6).alias("mean_words"), F.round(F.avg(marked), 6).alias("marked_ratio"))
 
 
-@query("prompt_verdicts", f"""WITH {PIECES},
-f AS (SELECT conv_id % 20 AS prompt, count(*) AS n, avg((n_words = 1)::INT) AS short, avg(({draw("'tag'", "conv_id", "turn", "piece")} % 4 = 0)::INT) AS takes, avg(n_words) AS words FROM pieces WHERE role = 'assistant' GROUP BY prompt)
-SELECT prompt, n, CASE WHEN n < 5 THEN 'BROKEN' WHEN takes = 0 THEN 'NO-TAGS' WHEN short > 0.5 THEN 'DEGENERATE' WHEN words < 1.5 THEN 'NO-SPEECH' WHEN takes > 0.27 THEN 'OVER-EAGER' ELSE 'OK' END AS verdict FROM f""")
-def prompt_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first fault that a candidate shows, in order of gravity."""
-    rows = P.pieces(conversations(spark, sf_dir)).where("role = 'assistant'")
-    takes = (hashing.draw(F.lit("tag"), F.col("conv_id"), F.col("turn"), F.col("piece")) % 4 == 0).cast("int")
-    f = rows.groupBy((F.col("conv_id") % 20).alias("prompt")).agg(F.count("*").alias("n"), F.avg((F.col("n_words") == 1).cast("int")).alias("short"), F.avg(takes).alias("takes"), F.avg("n_words").alias("words"))
-    verdict = F.when(F.col("n") < 5, "BROKEN").when(F.col("takes") == 0, "NO-TAGS").when(F.col("short") > 0.5, "DEGENERATE").when(F.col("words") < 1.5, "NO-SPEECH").when(F.col("takes") > 0.27, "OVER-EAGER").otherwise("OK")
-    return f.select("prompt", "n", verdict.alias("verdict"))
-
-
 @query("high_precision_threshold", f"""WITH {SCORED}, {LONG}, s AS (SELECT tag, k / 20 AS threshold, count(*) FILTER (WHERE floor(p * 20 + 1e-9) >= k AND gold = tag) AS tp, count(*) FILTER (WHERE floor(p * 20 + 1e-9) >= k AND gold <> tag) AS fp FROM long, (SELECT unnest(range(1, 20)) AS k) GROUP BY tag, k)
 SELECT tag, round(min(threshold), 6) AS threshold FROM s WHERE tp / nullif(tp + fp, 0) >= 0.2 GROUP BY tag""")
 def high_precision_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,22 @@ def stream_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_latest(endpointing.turn_states(runs.file_stream(spark, sf_dir, "events")), ["user_id"])
 
 
+#: A commit window wide enough to hold some of the table's events back.
+COMMIT = "6 hours"
+
+
 @query("stream_settled_words", """
-SELECT event_type, count(*) AS n FROM events GROUP BY event_type""")
+SELECT event_type, count(*) AS n, max(event_id) AS last FROM events WHERE time_bucket(INTERVAL 1 SECOND, ts) + INTERVAL 1 SECOND <= (SELECT max(ts) - INTERVAL 6 HOUR FROM events) GROUP BY event_type""")
 def stream_settled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = runs.run_to_table(endpointing.settled_words(runs.file_stream(spark, sf_dir, "events")))
-    return out.groupBy("event_type").agg(F.count("*").alias("n"))
+    """Events that the stream has settled: those younger than the commit window are still held back."""
+    out = runs.run_to_table(endpointing.settled_words(runs.file_stream(spark, sf_dir, "events"), COMMIT))
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
+@query("stream_flush", """
+SELECT CASE WHEN time_bucket(INTERVAL 1 SECOND, ts) + INTERVAL 1 SECOND <= (SELECT max(ts) - INTERVAL 6 HOUR FROM events) THEN 'settled' ELSE 'flush' END AS phase, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def stream_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events of a stream that has ended: the settled ones, then the flush of the rest."""
+    out = runs.run_to_table(endpointing.settled_words(runs.file_stream(spark, sf_dir, "events"), COMMIT))
+    rows = endpointing.flushed(out, spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return rows.groupBy("phase", "event_type").agg(F.count("*").alias("n"))

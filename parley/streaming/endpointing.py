@@ -48,6 +48,25 @@ def turn_states(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n_taken bigint, n_seen bigint, state string", "state string, taken bigint, seen bigint", "update", "NoTimeout")
 
 
-def settled_words(stream: DataFrame, commit: str = "2 seconds", at: str = "ts") -> DataFrame:
-    """Words older than the commit window, each once: append mode never takes back what it gave."""
-    return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, commit).dropDuplicatesWithinWatermark(["event_id"])
+def settled_words(stream: DataFrame, commit: str = "2 seconds", at: str = "ts", grain: str = "1 second") -> DataFrame:
+    """Words once they are older than the commit window, each once: event_id, event_type and ``at``.
+
+    A word is held back, as state of its own grain of time, until the watermark (the latest time less ``commit``) has
+    passed the end of that grain; append mode never takes back what it gave. The state is what came in within the window.
+    """
+    timed = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, commit)
+    return timed.groupBy(F.window(at, grain).alias("w"), "event_id", "event_type").agg(F.min(at).alias(at)).select("event_id", "event_type", at)
+
+
+def settled_of(rows: DataFrame, commit: str = "2 seconds", at: str = "ts", grain: str = "1 second") -> DataFrame:
+    """The batch twin: all rows, with settled, which is false for those that the watermark of all rows still holds back."""
+    timed = rows.withColumn(at, F.col(at).cast("timestamp"))
+    mark = timed.agg((F.max(at) - F.expr(f"INTERVAL {commit}")).alias("mark"))
+    return timed.withColumn("w", F.window(at, grain)).crossJoin(F.broadcast(mark)).select("event_id", "event_type", at, (F.col("w.end") <= F.col("mark")).alias("settled"))  # mark: one row
+
+
+def flushed(settled: DataFrame, rows: DataFrame, at: str = "ts") -> DataFrame:
+    """What the end of a stream gives: the words it has settled, and then those still held back, which no later word can settle."""
+    every = rows.select("event_id", "event_type", F.col(at).cast("timestamp").alias(at))
+    rest = every.join(settled.select("event_id"), "event_id", "left_anti")
+    return settled.withColumn("phase", F.lit("settled")).unionByName(rest.withColumn("phase", F.lit("flush")))
