@@ -89,9 +89,15 @@ def leading_drift(c: Column) -> tuple[Column, Column]:
     return F.when(token.isNull(), c).otherwise(F.regexp_replace(c, f"^{BEFORE_DRIFT}{SCRIPTS}+{AFTER_DRIFT}", "")), token
 
 
-def degenerate_tail(c: Column, least: int = 3) -> Column:
-    """A text whose last word stands ``least`` times or more in a row, with one of them."""
-    return F.regexp_replace(c, rf"(?U)(\s)(\S+)(?:\s+\2){{{least - 1},}}\s*$", "$1$2")
+def degenerate_tail(c: Column) -> Column:
+    """A reply without what it degenerates into: of a last word of one or two characters that repeats, one stays; and a last one with marked letters alone goes where a sentence has ended."""
+    once = F.regexp_replace(squeeze(c), r"(^| )([^ ]{1,2})(?: \2)+$", "$1$2")
+    return F.regexp_replace(once, r"(?<=[^\p{L}\p{N} ]) (?=\p{L}{1,2}$)(?=[^ ]*[^\x00-\x7F])\p{L}{1,2}$", "")
+
+
+def emoji_only(c: Column) -> Column:
+    """True if a text has nothing but symbols and white space; also if it is empty."""
+    return F.regexp_replace(c, r"\s", "").rlike(r"^\p{So}*$")
 
 
 def continuation(c: Column) -> Column:
