@@ -33,7 +33,6 @@ def test_stages_agree_with_the_operators(spark):
     labels, bench = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
     assert ids(corpus_pipeline.not_toxic(spark, docs, SF)) == ids(toxicity.score(docs, labels).where("predicted = 0"))
-    assert ids(corpus_pipeline.one_of_each(spark, docs, SF)) == ids(simhash.near_duplicates(docs).where("doc_id = component_id"))
     assert ids(corpus_pipeline.decontaminated(spark, docs, SF)) == ids(decontaminate.report(decontaminate.locate(docs, bench)).where("NOT contaminated"))
 
 
@@ -96,3 +95,35 @@ def test_stage_leaves_no_near_copies(spark):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF)
     assert {r["doc_id"] for r in out.select("doc_id").collect()} == brute_kept(rows)
+
+
+def tables(spark, folder, rows, labels, items):
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "x", 2.0, 3) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, id int, k string, weight double, u int").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_run_over_odd_rows(spark, tmp_path):
+    rng = random.Random(6)
+    vocab = [f"word{i}" for i in range(500)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    item = text(14)
+    rows = [(i, text(40) + (" vileword" if i % 4 == 0 else "")) for i in range(200)]
+    rows += [(500, None), (501, ""), (502, "  "), (None, text(30)), (503, text(30)), (503, "one row of an id"), (503, "one row of an id"), (504, "x " + item + " y"), (505, text(200_000)), (506, "one row of an id")]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(200)] + [(None, 0, 1), (3, None, None), (7, 1, 5), (1, 0, 0), (1, 0, 0)]
+    tables(spark, tmp_path, rows, labels, [(1, item), (2, None), (None, item), (3, ""), (1, item)])
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = [r["doc_id"] for r in out]
+    assert None in got and 505 in got and 504 not in got and not any(i is not None and i < 200 and i % 4 == 0 for i in got)
+    assert {i for i in range(200) if i % 4} <= set(got) and len({500, 501, 502} & set(got)) == 1 and 503 in got and 506 not in got
+    assert all(r["parity"] and r["round_trip"] for r in out)
+
+
+def test_run_over_empty_tables(spark, tmp_path):
+    tables(spark, tmp_path, [], [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_without_labels_and_benchmark(spark, tmp_path):
+    tables(spark, tmp_path, [(1, "some words"), (2, "other words here")], [], [])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [1, 2]

@@ -73,6 +73,15 @@ def test_reads_are_dealt_by_bytes(spark, tmp_path):
     assert warc.read(index, folder, payload=False).count() == 80
 
 
+def test_archives_of_pages_with_other_columns(spark, tmp_path):
+    names = "file, offset, length, digest, payload, record_type, refers_to, n".split(", ")
+    rows = [(1, "u", "a" * 1200, *range(8)), (2, "u", "a" * 1200, *range(8))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, " + ", ".join(f"{n} int" for n in names))
+    folder = f"file://{tmp_path}/w"
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.read(warc.write(df, folder), folder, payload=False).collect()}
+    assert got == {1: ("revisit", 2), 2: ("response", None)}
+
+
 def test_empty_archive(spark, tmp_path):
     folder = f"file://{tmp_path}/w"
     assert warc.read(warc.write(pages_of(spark, []), folder), folder).count() == 0
@@ -317,6 +326,12 @@ def test_urls(spark):
     assert none.where("rule IS NULL AND verdict = 'block'").count() == 0 and none.count() == len(rows)
 
 
+def test_very_long_urls(spark):
+    rows = [(1, "http://h.org/" + "p" * 2_000_000 + "?q"), (2, "x" * 1_000_000), (3, "http://" + "a." * 100_000 + "org/es/")]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame([], "page_id bigint, bad int")).collect()}
+    assert len(got[1]["path"]) == 2_000_001 and got[2]["host"] == "" and got[3]["rule"] == "org/es/"
+
+
 def test_registered_domains(spark):
     want = {"www.a.com": ("a.com", "com"), "x.y.co.uk": ("y.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "a.b.com.br:8080": ("b.com.br", "com.br"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[::1]:80": ("[::1]", "[::1]"), "u:p@a.b.org.": ("b.org", "org"), "me.github.io": ("me.github.io", "github.io"), "com": ("com", "com"), "": ("", ""), "a.co": ("a.co", "co"), "x.com.info": ("com.info", "info")}
     df = spark.createDataFrame([(h,) for h in want], "host string")
@@ -452,6 +467,15 @@ def test_toxicity(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, t in rows if not any(w in lower(t) for w in ("vileword", "nasty", "grimthing")))
 
 
+def test_toxicity_of_very_long_texts_and_other_columns(spark):
+    rows, labels = toxic_corpus(300)
+    long = " ".join(f"plain{i % 5000}" for i in range(400_000))
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    df = docs_of(spark, [*rows, (5000, long), (5001, None)]).withColumnRenamed("k", "u").withColumn("weight", F.lit(1)).withColumn("sig", F.lit("x"))
+    kept = toxicity.clean(df, lab)
+    assert kept.columns == df.columns and {5000, 5001} <= {r["doc_id"] for r in kept.select("doc_id").collect()}
+
+
 def test_toxicity_without_labels(spark):
     rows, _ = toxic_corpus(20)
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
