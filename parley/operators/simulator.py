@@ -42,10 +42,9 @@ def simulate(pieces: DataFrame, policy: Policy, delay: float = 0.2, rate: float
         replies: list[list] = []
         free = float("-inf")
         for i, piece in enumerate(rows):
-            for r in replies:
-                if r[2] < piece["t_start"] < r[3]:
-                    r[3], r[5] = piece["t_start"], True
-                    free = min(free, piece["t_start"])
+            if replies and replies[-1][2] < piece["t_start"] < replies[-1][3]:  # earlier replies have ended where it began
+                replies[-1][3], replies[-1][5] = piece["t_start"], True
+                free = min(free, piece["t_start"])
             heard.append(piece)
             act, n_words = policy(heard)
             if act != "speak" or not n_words:

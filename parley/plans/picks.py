@@ -35,7 +35,12 @@ def batch_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.batches(rows, ["conv_id"], "turn", "size", 4, 120)
 
 
-@query("slot_filling")
+@query("slot_filling", """
+WITH RECURSIVE x AS (SELECT user_id, event_id::VARCHAR AS d, event_id % 13 = 0 AS wrong, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_type = 'purchase'),
+f AS (SELECT user_id, 0::BIGINT AS i, '' AS digits, 0::BIGINT AS errors FROM x GROUP BY user_id
+  UNION ALL SELECT f.user_id, x.i, CASE WHEN x.wrong THEN '' WHEN length(f.digits) >= 11 THEN f.digits ELSE substr(f.digits || x.d, 1, 11) END, f.errors + x.wrong::BIGINT FROM f JOIN x ON x.user_id = f.user_id AND x.i = f.i + 1),
+l AS (SELECT user_id, arg_max(digits, i) AS digits, max(errors) AS errors FROM f GROUP BY user_id)
+SELECT user_id, digits, errors, CASE WHEN length(digits) = 11 THEN 'complete' WHEN errors > 0 THEN 'error' ELSE 'open' END AS state FROM l""")
 def slot_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digits that each user's purchases spell, until eleven."""
     rows = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", "event_id", F.concat(F.col("event_id").cast("string"), F.when(F.col("event_id") % 13 == 0, " x").otherwise("")).alias("said"))

@@ -164,3 +164,87 @@ def test_covering_is_a_loops(spark):
         want.append((best, gain[best]))
         have = [h + x for h, x in zip(have, left.pop(best))]
     assert [(k, pytest.approx(g)) for k, g in got] == want and len(selection.covering(spark.createDataFrame(rows, "k bigint, a bigint, b bigint, c bigint"), "k", ["a"], 9)) == 5
+
+
+def test_adopted_thresholds_are_a_loops(spark):
+    import random
+
+    from parley.operators import selection
+
+    rng = random.Random(3)
+    rows = []
+    for _ in range(300):
+        p = [rng.random() for _ in range(4)]
+        rows.append((rng.randrange(4), [x / sum(p) for x in p]))
+
+    def f1(limits):
+        pred = []
+        for _, p in rows:
+            may = [x if x >= limits.get(t, 0.0) else -1.0 for t, x in enumerate(p)]
+            pred.append(max(range(4), key=lambda t: (may[t], -t)) if max(may) >= 0 else 0)
+        total = 0.0
+        for t in range(4):
+            tp = sum(g == t == q for (g, _), q in zip(rows, pred, strict=True))
+            wrong = sum((g == t) != (q == t) for (g, _), q in zip(rows, pred, strict=True))
+            total += 2 * tp / (2 * tp + wrong) if tp or wrong else 0.0
+        return total / 4
+
+    candidates, kept, want = {0: 0.4, 1: 0.3, 3: 0.35}, {}, []
+    best = f1(kept)
+    for t, v in candidates.items():
+        if f1(kept | {t: v}) - best >= 5e-4:
+            kept[t], best = v, f1(kept | {t: v})
+            want.append((t, v, best))
+    got = selection.adopted(spark.createDataFrame(rows, "gold bigint, p array<double>"), [0, 1, 2, 3], candidates)
+    assert [(t, v, pytest.approx(f)) for t, v, f in got] == want and want
+
+
+@pytest.mark.parametrize("value, want", [("see é é é", "see é"), ("done. ő", "done."), ("ok ok", "ok"), ("", ""), (None, None)])
+def test_degenerate_tail(spark, value, want):
+    assert one(spark, value, text.degenerate_tail) == want
+
+
+def test_allow_lists_and_guards(spark):
+    from parley.plans import records as rules
+
+    allowed = spark.createDataFrame([("m", "a"), ("m", "b")], "model string, name string")
+    runs_ = spark.createDataFrame([("m", "b"), ("m", None)], "model string, candidate string")
+    assert sorted(r["name"] for r in rules.resolved(runs_, allowed).collect()) == ["a", "b"]
+    with pytest.raises(Exception, match="not allowed: m x"):
+        rules.resolved(spark.createDataFrame([("m", "x")], "model string, candidate string"), allowed).collect()
+    rows = spark.createDataFrame([(1, "a", None), (2, None, None)], "id int, text string, error string")
+    assert rules.required(rows.where("id = 1"), ["text"]).count() == 1
+    with pytest.raises(Exception, match="missing input: text"):
+        rules.required(rows, ["text"]).collect()
+    assert rules.without_errors(rows.withColumn("error", F.when(F.col("id") == 2, "x"))).count() == 1
+
+
+def test_settled_words_are_held_back(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    rows = [(i, "w", start + timedelta(seconds=i)) for i in range(11)]
+    spark.createDataFrame(rows, "event_id bigint, event_type string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = runs.run_to_table(endpointing.settled_words(runs.file_stream(spark, str(tmp_path), "events"), "2 seconds"))
+    assert sorted(r["event_id"] for r in got.collect()) == list(range(8)), "words at 8, 9 and 10 s are too young at 10 s"
+    twin = endpointing.settled_of(spark.read.parquet(f"{tmp_path}/events.parquet"), "2 seconds")
+    assert sorted(r["event_id"] for r in twin.where("settled").collect()) == list(range(8))
+    both = endpointing.flushed(got, spark.read.parquet(f"{tmp_path}/events.parquet"))
+    assert sorted((r["event_id"], r["phase"]) for r in both.collect()) == [(i, "settled" if i < 8 else "flush") for i in range(11)]
+
+
+def test_trace_labels_follow_targets(spark):
+    from parley.plans import decisions
+
+    events = [(1, 0, 1.0, "partial", False, "hello"), (1, 1, 2.0, "final", True, "there"), (1, 2, 2.5, "silence", False, ""), (1, 3, 3.0, "silence", False, ""), (1, 4, 3.5, "silence", False, ""), (1, 5, 4.0, "partial", False, "more"), (1, 6, 4.5, "silence", False, "")]
+    rows = [(*e, s) for s in (decisions.SUBSETS[3],) for e in events]
+    df = spark.createDataFrame(rows, "conv_id bigint, i bigint, at double, kind string, ends boolean, text string, subset string")
+    marks = spark.createDataFrame([(1, 2.2, None, None)], "conv_id bigint, first_end double, second_start double, second_end double")
+    said = spark.createDataFrame([], "conv_id bigint, s double, e double")
+    got = [r["label"] for r in decisions.trace_labels(df, said, marks).orderBy("i").collect()]
+    assert got == [decisions.WAIT, decisions.TAKE, decisions.TAKE, decisions.TAKE, decisions.THINK, decisions.WAIT, decisions.WAIT]
+    cut = df.withColumn("subset", F.lit(decisions.SUBSETS[4]))
+    marks = spark.createDataFrame([(1, None, 0.5, 2.0)], "conv_id bigint, first_end double, second_start double, second_end double")
+    said = spark.createDataFrame([(1, 0.9, 1.5), (1, 2.9, 3.2)], "conv_id bigint, s double, e double")
+    got = [r["label"] for r in decisions.trace_labels(cut, said, marks).orderBy("i").collect()]
+    assert got == [decisions.STOP, decisions.TAKE, decisions.TAKE, decisions.NONE, decisions.TAKE, decisions.WAIT, decisions.WAIT]
