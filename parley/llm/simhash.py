@@ -22,6 +22,8 @@ from .common import forget, space_chunks, written
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Distinct fingerprints of a group that are compared as they are; larger groups are split by their other bits.
 GROUP = 4096
+#: Stretches that fingerprints agree on, first and where groups are too large.
+CHOICES = (1, 3, 6)
 #: Fingerprints that a task compares at a time.
 ROWS = 1 << 18
 
@@ -145,25 +147,31 @@ def forest(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[np
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _key(fp: Column, parts: list[tuple[int, int]], which: Column) -> Column:
-    """The bits of one stretch; its number comes in front, so stretches never share a key."""
-    cases = F.lit(None).cast("bigint")
-    for i, (first, length) in enumerate(parts):
-        cases = F.when(which == i, F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << length) - 1).cast("bigint"))).otherwise(cases)
-    return cases
+def keyed(fps: DataFrame, radius: int, k: int) -> DataFrame:
+    """fp and g for each choice of ``k`` stretches out of ``radius`` + ``k``: fingerprints within the radius agree on all bits of some choice."""
+    from itertools import combinations
+
+    parts = stretches(64, radius + k)
+    masks = [sum(((1 << n) - 1) << first for first, n in (parts[i] for i in pick)) for pick in combinations(range(len(parts)), k)]
+    signed = F.array(*[F.struct(F.lit(i).alias("s"), F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint").alias("m")) for i, m in enumerate(masks)])
+    return fps.select("fp", F.explode(signed).alias("x")).select("fp", F.xxhash64("x.s", F.col("fp").bitwiseAND(F.col("x.m"))).alias("g"))
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
     """Pairs (a, b) of the column fp, at most ``radius`` bits apart, that join all fingerprints which are linked.
 
-    Groups of more than ``group`` fingerprints that share a stretch are split by stretches of finer cuts, and again.
+    Fingerprints meet in groups that agree on some stretch of bits. Those of groups larger than ``group`` meet in groups
+    that agree on more stretches of finer cuts, and those of groups still as large on more again.
     """
-    parts = stretches(64, radius + 1)
-    keyed = distinct.select("fp", F.explode(F.array(*[F.lit(i) for i in range(len(parts))])).alias("s"))
-    keyed = keyed.select("fp", F.xxhash64("s", _key(F.col("fp"), parts, F.col("s"))).alias("g"))
-    large = keyed.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > group).select("g")
-    rest = keyed.join(large, "g", "left_semi").select("fp").distinct()
-    ready = keyed.join(large, "g", "left_anti").unionByName(_finer(rest, radius))
+    todo, ready = distinct.select("fp"), None
+    for k in CHOICES:
+        every = keyed(todo, radius, k)
+        if k == CHOICES[-1]:
+            small = every
+        else:
+            large = every.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > group).select("g")
+            small, todo = every.join(large, "g", "left_anti"), every.join(large, "g", "left_semi").select("fp").distinct()
+        ready = small if ready is None else ready.unionByName(small)
     spark = distinct.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -190,21 +198,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP) -> Data
     return ready.select("fp", "g").repartition(tasks, "g").sortWithinPartitions("g", "fp").mapInArrow(run, "a bigint, b bigint")
 
 
-def _finer(todo: DataFrame, radius: int) -> DataFrame:
-    """Keys of three stretches out of radius + 3: rows within the radius agree on some three of them."""
-    from itertools import combinations
-
-    parts = stretches(64, radius + 3)
-    masks = [sum(((1 << n) - 1) << first for first, n in (parts[i] for i in pick)) for pick in combinations(range(len(parts)), 3)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    return todo.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.lit(m).cast("bigint").alias("m")) for i, m in enumerate(signed)])).alias("x")).select("fp", F.xxhash64("x.s", F.col("fp").bitwiseAND(F.col("x.m"))).alias("g"))
-
-
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node and root (the least node reachable) of every node that has an edge, by alternating large-star and small-star.
 
-    ``edges``: a, b. Nothing is collected; each round is written to the shared folder. The links of a node with many
-    neighbours are never gathered: a round needs each node's least neighbour only.
+    ``edges``: a, b. Nothing is collected; each round is written to the shared folder. A round needs each node's least
+    neighbour only, which is found before the exchange; where it is joined to the links of a node with very many
+    neighbours, adaptive execution splits these.
     """
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     for _ in range(rounds):
@@ -256,4 +255,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = written(rooted.join(ids, "root").select("fp", "component_id"), "named")
-    return fps.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = written(fps.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"), "near-duplicates")
+    for table in (fps, distinct, named):
+        forget(table)
+    return out
