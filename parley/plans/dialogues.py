@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import hashing, text
+from ..functions import calls, hashing, text
 from ..operators import catalogue, scoring
 from ..operators import pieces as P
 from .conversations import PIECES, conversations, draw, ws
@@ -91,24 +91,39 @@ def numbered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CALLS = [
-    (1, '{"name": "book", "arguments": {"city": "Lisbon", "date": "2024-05-01"}}', '{"name": "book", "city": "lisbon", "date": "20240501"}'), (2, '```json\n{"name": "book", "arguments": {"city": "Porto"}}\n```', '{"name": "book", "city": "Lisbon"}'),
-    (3, "no call", '{"name": "book"}'), (4, 'Sure. {"name": "find", "arguments": {}}', '{"name": "book"}'), (5, '{"name": "book", "arguments": {"city": "New Lisbon"}}', '{"name": "book", "city": "lisbon"}'),
+    (1, '{"name": "book", "arguments": {"city": "Lisbon", "date": "2024-05-01"}}', '{"name": "book", "arguments": {"city": "lisbon", "date": "2024/05/01"}}'), (2, '```json\n{"name": "book", "arguments": {"city": "Porto"}}\n```', '{"name": "book", "arguments": {"city": "Lisbon"}}'),
+    (3, "no call", '{"name": "book", "arguments": {}}'), (4, 'Sure. {"name": "find", "arguments": {"city": "x"}} }', '{"name": "book", "arguments": {}}'), (5, '{"a": 1} then {"name": "Book", "arguments": {"city": "New Lisbon", "n": 2}}', '{"name": "book", "arguments": {"city": "lisbon", "n": "2.0"}}'),
+    (6, '<tool_call>{"name": "book", "arguments": {"city": "São Paulo"}}</tool_call> {"name": "other"}', '{"name": "book", "arguments": {"city": "sao  paulo", "zip": ""}}'), (7, '{"name": "book", "arguments": {"time": "15:00"}}', '{"name": "book", "arguments": {"time": "15h00"}}'), (8, '{"name": "book", "arguments": {"city": "a"', '{"name": "book", "arguments": {}}'),
+    (9, '{bad {"name": "book"}} {"name": "book", "arguments": {"city": "b"}}', '{"name": "book", "arguments": {"city": "b"}}'), (10, '{"name": "book", "arguments": {}}', '{"name": "book", "arguments": {"city": "b"}}'),
 ]
+CALLS_SQL = "(VALUES " + ", ".join(f"({i}, '{a}', '{w}')" for i, a, w in CALLS) + ") v(id, answer, want)"
+_NORM = "lower(trim(regexp_replace(strip_accents({0}), '\\s+', ' ', 'g')))"
+_VALUE = "CASE WHEN regexp_matches({0}, '\\d{{4}}[-/]\\d{{1,2}}[-/]\\d{{1,2}}') OR regexp_matches({0}, '^\\d{{1,2}}\\s*[:h]') THEN regexp_replace({0}, '\\D', '', 'g') ELSE " + _NORM + " END"
+
+
+@query("tool_call_match", f"""WITH RECURSIVE c AS (SELECT id, want, CASE WHEN contains(answer, '<tool_call>') THEN regexp_extract(answer, '(?s)<tool_call>(.*?)</tool_call>', 1) ELSE answer END AS t FROM {CALLS_SQL}),
+f AS (SELECT id, t, 0 AS i, 0 AS depth, 0 AS first, NULL::VARCHAR AS found FROM c UNION ALL
+  SELECT id, t, i + 1, CASE substr(t, i + 1, 1) WHEN '{{' THEN depth + 1 WHEN '}}' THEN greatest(depth - 1, 0) ELSE depth END, CASE WHEN substr(t, i + 1, 1) = '{{' AND depth = 0 THEN i + 1 ELSE first END, CASE WHEN substr(t, i + 1, 1) = '}}' AND depth = 1 THEN substr(t, first, i + 2 - first) END FROM f WHERE i < length(t)),
+o AS (SELECT id, arg_min(found, i) AS call FROM f WHERE found IS NOT NULL AND json_valid(found) AND CASE WHEN json_valid(found) THEN coalesce(json_extract_string(found, '$.name'), '') <> '' END GROUP BY id),
+w AS (SELECT c.id, c.want, o.call, unnest(json_keys(c.want, '$.arguments') || ['']) AS k FROM c LEFT JOIN o ON o.id = c.id),
+v AS (SELECT id, want, call, k, CASE WHEN k <> '' THEN json_extract_string(want, '$.arguments.' || k) END AS b, CASE WHEN k <> '' THEN json_extract_string(call, '$.arguments.' || k) END AS a FROM w),
+e AS (SELECT id, want, call, k = '' OR b = '' OR coalesce(CASE WHEN TRY_CAST(a AS DOUBLE) IS NOT NULL AND TRY_CAST(b AS DOUBLE) IS NOT NULL THEN TRY_CAST(a AS DOUBLE) = TRY_CAST(b AS DOUBLE) ELSE contains({_VALUE.format("a")}, {_VALUE.format("b")}) OR contains({_VALUE.format("b")}, {_VALUE.format("a")}) END, false) AS good FROM v)
+SELECT id::BIGINT AS id, call, coalesce({_NORM.format("json_extract_string(call, '$.name')")} = {_NORM.format("json_extract_string(want, '$.name')")} AND bool_and(good), false) AS correct FROM e GROUP BY id, want, call""")
+def tool_call_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The call found in an answer, and whether it is the one that was expected."""
+    rows = spark.createDataFrame(CALLS, "id bigint, answer string, want string").withColumn("call", calls.call(F.col("answer")))
+    return rows.select("id", "call", calls.call_correct(F.col("call"), F.col("want"), []).alias("correct"))
 
 
-@query("tool_call_match", """
-SELECT * FROM (VALUES (1::BIGINT, true, true), (2, true, false), (3, false, false), (4, false, false), (5, true, true)) v(id, name_right, all_right)""")
-def tool_call_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A call found in an answer held against what was expected: the name, and every argument contained, dates by their digits."""
-    rows = spark.createDataFrame(CALLS, "id bigint, answer string, want string")
-    call = F.regexp_extract("answer", r"(?s)(\{.*\})", 1)
-    got, want = F.from_json(F.get_json_object(call, "$.arguments"), "map<string,string>"), F.from_json("want", "map<string,string>")
-    bare = lambda c: F.when(c.rlike("^[0-9-]+$"), F.regexp_replace(c, "-", "")).otherwise(F.lower(c))
-    rows = rows.select("id", F.get_json_object(call, "$.name").alias("name"), F.coalesce(got, F.create_map().cast("map<string,string>")).alias("got"), want.alias("want"))
-    name = F.coalesce(F.col("name") == F.col("want")["name"], F.lit(False))
-    args = F.map_filter("want", lambda k, _: k != "name")
-    every = F.forall(F.map_entries(args), lambda e: F.coalesce(F.contains(bare(F.try_element_at("got", e["key"])), bare(e["value"])), F.lit(False)))
-    return rows.select("id", name.alias("name_right"), (name & every).alias("all_right"))
+GENERAL = [(1, "Lisboa", "lisboa", "exact_norm"), (2, "É  Lisboa.", "lisboa", "contains"), (3, "a, b; c", "", "count3"), (4, "um e dois", "", "count3"), (5, "x", "", "contains"), (6, "Sao Paulo", "São Paulo", "exact_norm"), (7, "- a\n- b\n- c", "", "count3"), (8, "", "y", "contains")]
+GENERAL_SQL = "(VALUES " + ", ".join(f"({i}, '{t}', '{w}', '{m}')" for i, t, w, m in GENERAL) + ") v(id, t, want, mode)"
+
+
+@query("answer_match", f"""
+SELECT id::BIGINT AS id, CASE mode WHEN 'exact_norm' THEN {_NORM.format("t")} = {_NORM.format("want")} WHEN 'count3' THEN len(list_filter(regexp_split_to_array(t, '[,;\n•-]| e '), lambda x: trim(x) <> '')) = 3 ELSE want <> '' AND contains({_NORM.format("t")}, {_NORM.format("want")}) END AS correct FROM {GENERAL_SQL}""")
+def answer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether answers are right, each by its own way of matching."""
+    return spark.createDataFrame(GENERAL, "id bigint, t string, want string, mode string").select("id", calls.answer_correct(F.col("t"), F.col("want"), F.col("mode")).alias("correct"))
 
 
 UPDATES = [
@@ -116,8 +131,20 @@ UPDATES = [
 ]
 
 
-@query("filter_update", """
-SELECT * FROM (VALUES (1::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, 'warm', NULL, 'a,b'), (2, NULL, 900, NULL, NULL, NULL, ''), (3, NULL, NULL, 30, NULL, NULL, ''), (4, NULL, NULL, NULL, NULL, 'fast', 'x,y')) v(id, min_price, max_price, max_nights, climate, pace, tags)""")
+def _map(m: dict) -> str:
+    show = lambda v: "NULL::VARCHAR" if v is None else f"'{v}'"
+    return f"MAP([{', '.join(show(k) for k in m)}]::VARCHAR[], [{', '.join(show(v) for v in m.values())}]::VARCHAR[])"
+
+
+UPDATES_SQL = "(VALUES " + ", ".join(f"({i}, {_map(a)}, {_map(b)})" for i, a, b in UPDATES) + ") v(id, base, new)"
+_OF = "CASE WHEN list_contains(map_keys(new), '{0}') THEN new['{0}'] ELSE base['{0}'] END"
+_BOUND = "CASE WHEN coalesce(TRY_CAST({0} AS DOUBLE), 0) <> 0 THEN least(greatest(TRY_CAST({0} AS DOUBLE), {1}), {2}) END"
+
+
+@query("filter_update", f"""WITH u AS (SELECT id, {_OF.format("min_price")} AS lo, {_OF.format("max_price")} AS hi, {_OF.format("max_nights")} AS nights, {_OF.format("climate")} AS climate, {_OF.format("pace")} AS pace, coalesce({_OF.format("tags")}, '') AS tags FROM {UPDATES_SQL}),
+n AS (SELECT *, {_BOUND.format("lo", 300, 12000)} AS low, {_BOUND.format("hi", 300, 12000)} AS high FROM u)
+SELECT id::BIGINT AS id, CASE WHEN high IS NULL OR low <= high THEN low END AS min_price, high AS max_price, {_BOUND.format("nights", 1, 30)} AS max_nights, climate, pace,
+  array_to_string(list_filter(list_transform(range(1, len(string_split(tags, ',')) + 1), lambda i: CASE WHEN list_position(string_split(tags, ','), string_split(tags, ',')[i]) = i THEN string_split(tags, ',')[i] END), lambda x: x <> '')[1:6], ',') AS tags FROM n""")
 def filter_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filter brought up to date: absent keys stay, nulls clear, numbers are held within bounds, a lower bound over the upper goes."""
     rows = spark.createDataFrame(UPDATES, "id bigint, base map<string,string>, new map<string,string>")
