@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
-from .conversations import conversations, draw, ws
+from ..operators import pieces as P
+from .conversations import PIECES, conversations, draw, ws
 from .registry import query, table
 
 
@@ -240,3 +241,43 @@ def scenario_generators(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.bround(F.col("n") * share, 0).cast("bigint")))
     pause = 1.2 + hashing.draw(F.lit("pause"), F.col("doc_id")) % 29 / 10.0
     return rows.select("doc_id", "task", F.when(paused, said).otherwise(F.col("n")).cast("bigint").alias("n_said"), F.col("n").cast("bigint").alias("n_words"), (F.col("task") == "smooth_turn").alias("ends_turn"), F.round(F.when(paused, pause).otherwise(1.0), 2).alias("silence"))
+
+
+#: What a record of each kind and label weighs in training; others weigh 1. The share of records that carry an instruction, and of finals with a silence after them.
+LOSS = [("main", "user_finish_speaking", 2.0), ("main", "user_is_speaking", 0.5), ("silence", "user_is_thinking", 0.75), ("barge_in", "user_interruption", 3.0)]
+INSTRUCTED, QUIET = 0.5, 0.3
+LOSS_SQL = values(LOSS, "kind, label, weight").replace(" v(", " l(")
+
+
+@query("policy_records", f"""WITH {PIECES}, p AS (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first_turn FROM pieces WHERE role = 'user'),
+r AS (SELECT 'main' AS kind, CASE WHEN ends_turn THEN 'user_finish_speaking' ELSE 'user_is_speaking' END AS label, conv_id, turn, piece FROM p
+  UNION ALL SELECT 'silence', 'user_is_thinking', conv_id, turn, piece FROM p WHERE ends_turn AND {draw("'quiet'", "conv_id", "turn", "piece")} < {int(QUIET * 2**32)}
+  UNION ALL SELECT 'barge_in', 'user_interruption', conv_id, turn, piece FROM p WHERE piece = 0 AND turn > first_turn AND n_words > 2
+  UNION ALL SELECT 'rule', 'follow_rule', conv_id, turn, piece FROM p WHERE regexp_matches(lower(text), '\\b(que|the|und|los)\\b'))
+SELECT r.kind, r.label, count(*) AS n, round(sum(coalesce(weight, 1)::DOUBLE), 6) AS loss_weight, count(*) FILTER (WHERE {draw("'mix'", "r.kind", "conv_id", "turn", "piece")} < {int(INSTRUCTED * 2**32)}) AS n_instructed FROM r LEFT JOIN {LOSS_SQL} ON l.kind = r.kind AND l.label = r.label GROUP BY ALL""")
+def policy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records for a policy's training: the main walk, silences, interruptions and rules, each with the loss weight of its kind and label and, for some, an instruction."""
+    rows = P.pieces(conversations(spark, sf_dir)).where("role = 'user'")
+    rows = rows.withColumn("first_turn", F.min("turn").over(Window.partitionBy("conv_id")))
+    end, key = F.col("ends_turn"), [F.col("conv_id"), F.col("turn"), F.col("piece")]
+    one = lambda kind, label, when: F.when(when, F.struct(F.lit(kind).alias("kind"), label.alias("label")))
+    made = F.array_compact(F.array(
+        one("main", F.when(end, "user_finish_speaking").otherwise("user_is_speaking"), F.lit(True)), one("silence", F.lit("user_is_thinking"), end & hashing.chance(QUIET, F.lit("quiet"), *key)),
+        one("barge_in", F.lit("user_interruption"), (F.col("piece") == 0) & (F.col("turn") > F.col("first_turn")) & (F.col("n_words") > 2)), one("rule", F.lit("follow_rule"), F.lower("text").rlike(r"\b(que|the|und|los)\b")),
+    ))
+    records = rows.select(*key, F.explode(made).alias("r")).select("conv_id", "turn", "piece", "r.*")
+    loss = F.broadcast(spark.createDataFrame(LOSS, "kind string, label string, weight double"))  # a row a kind and label
+    told = records.withColumn("instructed", hashing.chance(INSTRUCTED, F.lit("mix"), F.col("kind"), *key)).join(loss, ["kind", "label"], "left")
+    return told.groupBy("kind", "label").agg(F.count("*").alias("n"), F.round(F.sum(F.coalesce("weight", F.lit(1.0))), 6).alias("loss_weight"), F.count_if("instructed").alias("n_instructed"))
+
+
+@query("dialogue_gate", f"""WITH t AS (SELECT conv_id, turn, role, lower(text) AS low, len({ws("text")}) AS n, regexp_extract_all(lower(text), '\\p{{L}}+') AS w FROM conversations),
+s AS (SELECT conv_id, role, sum(len(list_filter(w, lambda x: length(x) > 2)))::BIGINT AS clear, count(*) AS lines FROM t GROUP BY conv_id, role), l AS (SELECT conv_id, max(c) AS most FROM (SELECT conv_id, low, count(*) AS c FROM t GROUP BY conv_id, low) GROUP BY conv_id)
+SELECT t.conv_id, arg_max(t.role, t.turn) = 'assistant' AND min(t.n) >= 1 AND max(t.n) <= 180 AND any_value(l.most) < 3 AND any_value(b.ok) AS valid FROM t JOIN l USING (conv_id) JOIN (SELECT conv_id, count(*) FILTER (WHERE role IN ('user', 'assistant') AND clear >= 8) = 2 AS ok FROM s GROUP BY conv_id) b USING (conv_id) GROUP BY t.conv_id""")
+def dialogue_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dialogues that may be trained on: an assistant has the last word, lines have 1 to 180 words, none stands three times, and both sides say enough to be told by their language."""
+    clear = F.size(F.filter(text.alpha_words(F.lower("text")), lambda x: F.length(x) > 2))
+    rows = conversations(spark, sf_dir).select("conv_id", "turn", "role", F.lower("text").alias("low"), F.size(text.ws_words(F.col("text"))).alias("n"), clear.alias("clear"))
+    lines = rows.groupBy("conv_id", "low").agg(F.count("*").alias("c"), F.max(F.struct("turn", "role")).alias("last"), F.min("n").alias("least"), F.max("n").alias("most"), *[F.sum(F.when(F.col("role") == r, F.col("clear")).otherwise(0)).alias(r) for r in ("user", "assistant")])
+    whole = lines.groupBy("conv_id").agg(F.max("last").alias("last"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("c").alias("c"), F.sum("user").alias("user"), F.sum("assistant").alias("assistant"))
+    return whole.select("conv_id", ((F.col("last.role") == "assistant") & (F.col("least") >= 1) & (F.col("most") <= 180) & (F.col("c") < 3) & (F.col("user") >= 8) & (F.col("assistant") >= 8)).alias("valid"))
