@@ -253,7 +253,7 @@ LOSS_SQL = values(LOSS, "kind, label, weight").replace(" v(", " l(")
 r AS (SELECT 'main' AS kind, CASE WHEN ends_turn THEN 'user_finish_speaking' ELSE 'user_is_speaking' END AS label, conv_id, turn, piece FROM p
   UNION ALL SELECT 'silence', 'user_is_thinking', conv_id, turn, piece FROM p WHERE ends_turn AND {draw("'quiet'", "conv_id", "turn", "piece")} < {int(QUIET * 2**32)}
   UNION ALL SELECT 'barge_in', 'user_interruption', conv_id, turn, piece FROM p WHERE piece = 0 AND turn > first_turn AND n_words > 2
-  UNION ALL SELECT 'rule', 'follow_rule', conv_id, turn, piece FROM p WHERE regexp_matches(lower(text), '\\b(que|the|und|los)\\b'))
+  UNION ALL SELECT 'rule', 'follow_rule', conv_id, turn, piece FROM p WHERE regexp_matches(lower(text), '(^| )(que|the|und|los)( |$)'))
 SELECT r.kind, r.label, count(*) AS n, round(sum(coalesce(weight, 1)::DOUBLE), 6) AS loss_weight, count(*) FILTER (WHERE {draw("'mix'", "r.kind", "conv_id", "turn", "piece")} < {int(INSTRUCTED * 2**32)}) AS n_instructed FROM r LEFT JOIN {LOSS_SQL} ON l.kind = r.kind AND l.label = r.label GROUP BY ALL""")
 def policy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records for a policy's training: the main walk, silences, interruptions and rules, each with the loss weight of its kind and label and, for some, an instruction."""
@@ -263,7 +263,7 @@ def policy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda kind, label, when: F.when(when, F.struct(F.lit(kind).alias("kind"), label.alias("label")))
     made = F.array_compact(F.array(
         one("main", F.when(end, "user_finish_speaking").otherwise("user_is_speaking"), F.lit(True)), one("silence", F.lit("user_is_thinking"), end & hashing.chance(QUIET, F.lit("quiet"), *key)),
-        one("barge_in", F.lit("user_interruption"), (F.col("piece") == 0) & (F.col("turn") > F.col("first_turn")) & (F.col("n_words") > 2)), one("rule", F.lit("follow_rule"), F.lower("text").rlike(r"\b(que|the|und|los)\b")),
+        one("barge_in", F.lit("user_interruption"), (F.col("piece") == 0) & (F.col("turn") > F.col("first_turn")) & (F.col("n_words") > 2)), one("rule", F.lit("follow_rule"), F.lower("text").rlike("(^| )(que|the|und|los)( |$)")),
     ))
     records = rows.select(*key, F.explode(made).alias("r")).select("conv_id", "turn", "piece", "r.*")
     loss = F.broadcast(spark.createDataFrame(LOSS, "kind string, label string, weight double"))  # a row a kind and label
