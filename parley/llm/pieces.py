@@ -28,8 +28,6 @@ MODEL_BYTES = 64 << 20
 KEPT = 50_000
 #: Characters of a text, or ids, that are taken at a time.
 SEGMENT = 1 << 18
-#: Threads of a worker that encode parts of a batch at the same time.
-THREADS = 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -37,7 +35,7 @@ UNIGRAM, BPE = 1, 2
 class Pieces:
     """A SentencePiece model rebuilt on tokenizers."""
 
-    def __init__(self, proto: bytes, verify: bool = True):
+    def __init__(self, proto: bytes, verify: bool = True, threads: int = 1):
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
         from tokenizers import Tokenizer, decoders, models, normalizers
 
@@ -69,7 +67,8 @@ class Pieces:
         one = self.tokenizer.decode_batch([[i] for i in range(len(self.pieces))], skip_special_tokens=False)
         self.shown = ["" if t == CONTROL else train.unk_surface if t == UNKNOWN else x for x, (*_, t) in zip(one, self.pieces, strict=True)]
         self.met: dict[bytes, str] = {}
-        self.pool = ThreadPoolExecutor(THREADS)  # both libraries let other threads run while they encode
+        self.threads = threads
+        self.pool = ThreadPoolExecutor(threads)  # both libraries let other threads run while they encode
         self.true = self.plain = None
         if verify:
             self.true = SentencePieceProcessor(model_proto=proto)
@@ -99,9 +98,10 @@ class Pieces:
         """Of each text the ids as int32, the normalised text, and whether SentencePiece gives the same ids; where it doesn't, the ids are its own."""
         whole = [self.normalised(t) for t in texts]
         short = [i for i, t in enumerate(whole) if len(t) <= SEGMENT]
-        parts = [short[k :: THREADS] for k in range(THREADS)]
-        own = dict(chain.from_iterable(self.pool.map(lambda part: zip(part, (e.ids for e in self.tokenizer.encode_batch_fast([whole[i] for i in part], add_special_tokens=False)), strict=True), parts)))
-        true = dict(chain.from_iterable(self.pool.map(lambda part: zip(part, self.true.encode([texts[i] for i in part], num_threads=1), strict=True), parts))) if self.true else own
+        parts = [short[k :: self.threads] for k in range(self.threads)]
+        spread = self.pool.map if self.threads > 1 else map
+        own = dict(chain.from_iterable(spread(lambda part: zip(part, (e.ids for e in self.tokenizer.encode_batch_fast([whole[i] for i in part], add_special_tokens=False)), strict=True), parts)))
+        true = dict(chain.from_iterable(spread(lambda part: zip(part, self.true.encode([texts[i] for i in part], num_threads=1), strict=True), parts))) if self.true else own
         for i, text in enumerate(whole):
             if i in own:
                 ids, known = own[i], true[i]
@@ -155,27 +155,29 @@ class Pieces:
 _BUILT: dict[str, Pieces] = {}
 
 
-def built(proto: bytes, verify: bool) -> Pieces:
+def built(proto: bytes, verify: bool, threads: int = 1) -> Pieces:
     """One model a worker process."""
-    key = hashlib.sha256(proto).hexdigest() + str(verify)
+    key = f"{hashlib.sha256(proto).hexdigest()} {verify} {threads}"
     if key not in _BUILT:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # threads are ours: the library's own wait for work at a processor's full cost
         _BUILT.clear()
-        _BUILT[key] = Pieces(proto, verify)
+        _BUILT[key] = Pieces(proto, verify, threads)
     return _BUILT[key]
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", keep_ids: bool = True, verify: bool = True, chunk_chars: int = 500_000) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, text: str = "text", keep_ids: bool = True, verify: bool = True, chunk_chars: int = 1_000_000, threads: int | None = None) -> DataFrame:
     """``docs`` without ``text``'s own column, with n_tokens, ids (if ``keep_ids``), ids_sha256, decoded_sha256, round_trip and parity.
 
     ids_sha256 is over the ids as little-endian int32, decoded_sha256 over the decoded UTF-8. round_trip: decoding gives
     the normalised text. parity: the rebuilt model gives the ids that SentencePiece gives for the raw text (of a text over
     SEGMENT characters, for its normalised segments); where it doesn't, the ids are SentencePiece's. Without ``verify``
-    parity is true and untested. A null text counts as empty: no ids, round_trip true. Repeated rows each get their row;
+    parity is true and untested. A batch is encoded by ``threads``, as many as a task has processors (spark.task.cpus) if
+    not given; more would take other tasks' time. A null text counts as empty: no ids, round_trip true. Repeated rows each get their row;
     an empty table gives an empty one. Other columns pass through; columns of the names above are replaced.
     """
     if len(model) > MODEL_BYTES:
         raise ValueError(f"the model has {len(model)} bytes, more than {MODEL_BYTES}")
+    threads = threads or int(docs.sparkSession.conf.get("spark.task.cpus", "1"))
     made = ["n_tokens", "ids", "ids_sha256", "decoded_sha256", "round_trip", "parity"]
     docs = docs.select(*[c for c in docs.columns if c not in made])
     rest = [c for c in docs.columns if c != text]
@@ -183,7 +185,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep_ids: bool = T
     schema = ", ".join([*(f"`{k.partition(':')[0]}` {k.partition(':')[2]}" for k in kinds), "n_tokens bigint", *["ids array<int>"] * keep_ids, "ids_sha256 string", "decoded_sha256 string", "round_trip boolean", "parity boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = built(model, verify)
+        pieces = built(model, verify, threads)
 
         def part(batch: pa.RecordBatch, at: int, texts: list[str]) -> pa.RecordBatch:
             n, ids, shas, back, same, parity = [], [], [], [], [], []

@@ -366,7 +366,7 @@ def test_pieces_are_sentencepieces(model):
     assert [g.tolist() for g, *_ in got] == reference.encode(texts) and all(same for *_, same in got)
     assert [own.decode(g) for g, *_ in got] == reference.decode([g.tolist() for g, *_ in got]) == [w[1:] for _, w, _ in got]
     # the rebuilt model alone, without any help of SentencePiece
-    alone = pieces.Pieces(model, verify=False)
+    alone = pieces.Pieces(model, verify=False, threads=3)
     assert alone.true is None and [g.tolist() for g, *_ in alone.encode(texts)] == reference.encode(texts)
 
 
