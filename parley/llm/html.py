@@ -7,7 +7,8 @@ repeated group; text that differs between pages is a slot, text that never does
 follows which, and what a path's text is, adds up over pages in any order, so a host's pages may be anywhere and no task
 holds a host. The wrapper decides what of a page is main text: its region is the smallest element that holds all slots
 which neither the page's marks nor the wrapper (text that is the same on all pages, repeated groups of links) tell to be
-surroundings.
+surroundings. Every page is matched against the part of the expression that half of the host's pages share; a page that
+doesn't match isn't of the wrapper's making, so its own marks decide alone.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 from .urls import host_of
 
 #: Elements whose end or start parts blocks of text.
@@ -46,6 +47,9 @@ SHIPPED = 16 << 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|([^<]+)|<(?![a-zA-Z/!?])", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Of a wrapper's paths: of each child, its place in the expression, whether it may come again, whether it must come.
+Frame = dict[str, dict[str, tuple[int, bool, bool]]]
+
 _CUT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -112,15 +116,16 @@ class Page:
     children of each element: ``follows`` (path, one child, the next), ``holds`` (path, child): occurrences of the path
     that have the child, and ``seen``: occurrences of the path. # is a text, ^ and $ are an element's begin and end."""
 
-    def __init__(self, source: str, structure: bool = False):
+    def __init__(self, source: str, structure: bool = False, frame: Frame | None = None):
+        self.fits = True  # what matches ``frame``
         self.blocks: list[tuple[str, bool, bool, str, int]] = []  # path, main, around, text, characters in links
         self.shape: list[str] = []
         self.follows: set[tuple[str, str, str]] = set()
         self.holds: dict[tuple[str, str], int] = {}
         self.seen: dict[str, int] = {"": 1}
         self.several: set[str] = set()  # paths with more than one occurrence in one parent
-        # of each open element: name, path, main, around, last child, children so far
-        stack: list[list] = [["", "", False, False, "^", set()]]
+        # of each open element: name, path, main, around, last child, children so far, place in the frame
+        stack: list[list] = [["", "", False, False, "^", set(), 0]]
         opened: dict[str, int] = {}
         run: list[str] = []
         links = linked = 0
@@ -132,6 +137,10 @@ class Page:
                 if key not in top[5]:
                     self.holds[top[1], key] = self.holds.get((top[1], key), 0) + 1
                 self.shape.append(key)
+            if frame is not None and (rule := frame.get(top[1], {}).get(key)):
+                place, again, _ = rule
+                self.fits = self.fits and place >= top[6] and (again or key not in top[5])
+                top[6] = place
             if key in top[5]:
                 self.several.add(f"{top[1]}/{key}")
             top[4] = key
@@ -148,9 +157,14 @@ class Page:
                 self.blocks.append((top[1], top[2], top[3], text, min(linked, len(text))))
             linked = 0
 
+        def whole(path: str, children: set[str]) -> None:
+            if frame is not None and self.fits:
+                self.fits = all(k in children for k, (_, _, must) in frame.get(path, {}).items() if must)
+
         def leave() -> None:
-            name, path, *_, last, _ = stack.pop()
+            name, path, _, _, last, children, _ = stack.pop()
             opened[name] -= 1
+            whole(path, children)
             if structure:
                 self.follows.add((path, last, "$"))
                 self.shape.append("/")
@@ -184,35 +198,43 @@ class Page:
             child(key)
             if name not in VOID:
                 self.seen[deep] = self.seen.get(deep, 0) + 1
-                stack.append([name, deep, here, off, "^", set()])
+                stack.append([name, deep, here, off, "^", set(), 0])
                 opened[name] = opened.get(name, 0) + 1
             elif structure:
                 self.shape.append("/")
         close()
         while len(stack) > 1:
             leave()
+        whole("", stack[0][5])
         if structure:
             self.follows.add(("", stack[0][4], "$"))
 
 
-def pattern(follows: Iterable[tuple[str, str]], always: set[str], inner) -> str:
-    """A regular expression without unions for one element's children, from which child may follow which (^ begins, $ ends).
+def arranged(follows: Iterable[tuple[str, str]]) -> list[tuple[list[str], bool]]:
+    """An element's children in the order of its expression, from which child may follow which (^ begins, $ ends): groups, and whether they repeat.
 
-    Children that can be reached from each other make a repeated group of optional ones, a child that follows itself a
-    repeated one; children that aren't in ``always`` are optional. ``inner`` gives a child's own text.
+    Children that can be reached from each other make a repeated group, a child that follows itself a repeated one.
     """
     after: dict[str, set[str]] = {}
     for a, b in follows:
         after.setdefault(a, set()).add(b)
         after.setdefault(b, set())
+    groups = [sorted(group - {"^", "$"}) for group in components(after)]
+    return [(g, len(g) > 1 or g[0] in after[g[0]]) for g in groups if g]
+
+
+def pattern(follows: Iterable[tuple[str, str]], always: set[str], inner) -> str:
+    """A regular expression without unions for one element's children, as ``arranged``.
+
+    Children of a repeated group, and those that aren't in ``always``, are optional. ``inner`` gives a child's own text.
+    """
     out = []
-    for group in components(after):
-        group = sorted(group - {"^", "$"})
+    for group, again in arranged(follows):
         if len(group) > 1:
             out.append(f"(?:{''.join(f'(?:{inner(k)})?' for k in group)})+" + "?" * (not any(k in always for k in group)))
-        elif group:
+        else:
             (k,) = group
-            out.append(f"(?:{inner(k)})" + ("+" if k in after[k] else "") if k in always else f"(?:{inner(k)})" + ("*" if k in after[k] else "?"))
+            out.append(f"(?:{inner(k)})" + ("+" if again else "") if k in always else f"(?:{inner(k)})" + ("*" if again else "?"))
     return "".join(out)
 
 
@@ -339,8 +361,8 @@ def _added(least) -> list[Column]:
     return [F.sum("n").alias("n"), least(F.collect_list("pages")).alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.max("main").alias("main"), F.max("several").alias("several")]
 
 
-def grammar(pages: DataFrame) -> DataFrame:
-    """host, path, pattern: the children of every element of a host's wrapper as a regular expression without unions. ``pages``: host, html."""
+def _edges(pages: DataFrame) -> DataFrame:
+    """Which child follows which below each path of a host: host, path, a, b; with b empty, how many occurrences of the path hold a, and pages; with a empty too, of the path itself."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str, str, str], list[int]] = {}
@@ -348,11 +370,13 @@ def grammar(pages: DataFrame) -> DataFrame:
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
                 page = Page(source.as_py() or "", True)
                 for path, a, b in page.follows:
-                    held.setdefault((host, path, a, b), [0, 0])
+                    held.setdefault((host, path, a, b), [0, 0, 0])
                 for (path, key), n in page.holds.items():
-                    held.setdefault((host, path, key, ""), [0, 0])[0] += n
+                    add = held.setdefault((host, path, key, ""), [0, 0, 0])
+                    add[0], add[2] = add[0] + n, add[2] + 1
                 for path, n in page.seen.items():
-                    held.setdefault((host, path, "", ""), [0, 0])[1] += n
+                    add = held.setdefault((host, path, "", ""), [0, 0, 0])
+                    add[1], add[2] = add[1] + n, add[2] + 1
                 if len(held) > 50_000:
                     yield rows(held)
                     held = {}
@@ -361,18 +385,44 @@ def grammar(pages: DataFrame) -> DataFrame:
 
     def rows(held: dict) -> pa.RecordBatch:
         cols = list(zip(*((*k, *v) for k, v in held.items()), strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 4 else pa.int64()) for i, c in enumerate(cols)], names=["host", "path", "a", "b", "holds", "seen"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 4 else pa.int64()) for i, c in enumerate(cols)], names=["host", "path", "a", "b", "holds", "seen", "pages"])
+
+    parts = pages.select(F.coalesce("host", F.lit("")).alias("host"), "html").mapInArrow(fold, _EDGE + ", holds bigint, seen bigint, pages bigint")
+    return parts.groupBy("host", "path", "a", "b").agg(*[F.sum(c).alias(c) for c in ("holds", "seen", "pages")])
+
+
+def _always(found: list[dict]) -> set[str]:
+    seen = sum(r["seen"] for r in found)
+    return {r["a"] for r in found if r["a"] and not r["b"] and r["holds"] == seen}
+
+
+def grammar(pages: DataFrame) -> DataFrame:
+    """host, path, pattern: the children of every element of a host's wrapper as a regular expression without unions. ``pages``: host, html."""
 
     def one(table: pa.Table) -> pa.Table:
         found = table.to_pylist()
-        seen = sum(r["seen"] for r in found)
-        always = {r["a"] for r in found if r["a"] and not r["b"] and r["holds"] == seen}
-        shown = pattern([(r["a"], r["b"]) for r in found if r["b"]], always, lambda k: f"{k} ")
+        shown = pattern([(r["a"], r["b"]) for r in found if r["b"]], _always(found), lambda k: f"{k} ")
         return pa.table({"host": table["host"][:1], "path": table["path"][:1], "pattern": pa.array([shown], pa.string())})
 
-    parts = pages.select(F.coalesce("host", F.lit("")).alias("host"), "html").mapInArrow(fold, _EDGE + ", holds bigint, seen bigint")
-    added = parts.groupBy("host", "path", "a", "b").agg(F.sum("holds").alias("holds"), F.sum("seen").alias("seen"))
-    return added.groupBy("host", "path").applyInArrow(one, "host string, path string, pattern string")
+    return _edges(pages).groupBy("host", "path").applyInArrow(one, "host string, path string, pattern string")
+
+
+def frames(pages: DataFrame, slots: DataFrame) -> DataFrame:
+    """host and frame: the rules (path, key, place, again, must) of the host's expression for the children that half of its pages have.
+
+    ``pages``: host, html; ``slots``: ``infer``'s rows of them. A frame is no more than twice as large as a page.
+    """
+    kinds = {"host": pa.string(), "path": pa.string(), "key": pa.string(), "place": pa.int32(), "again": pa.bool_(), "must": pa.bool_(), "pages": pa.int64()}
+
+    def one(table: pa.Table) -> pa.Table:
+        found = table.to_pylist()
+        always, on = _always(found), {r["a"]: r["pages"] for r in found if r["a"] and not r["b"]}
+        made = [(found[0]["host"], found[0]["path"], k, place, again, k in always, on[k]) for place, (group, again) in enumerate(arranged((r["a"], r["b"]) for r in found if r["b"])) for k in group]
+        return pa.table([pa.array([m[i] for m in made], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+
+    rules = _edges(pages).groupBy("host", "path").applyInArrow(one, "host string, path string, key string, place int, again boolean, must boolean, pages bigint")
+    whole = slots.where("path = ''").select("host", F.col("n").alias("all"))
+    return rules.join(whole, "host").where("pages * 2 >= all").groupBy("host").agg(F.collect_list(F.struct("path", "key", "place", "again", "must")).alias("frame"))
 
 
 def regions(slots: DataFrame) -> DataFrame:
@@ -403,40 +453,60 @@ def regions(slots: DataFrame) -> DataFrame:
     return by.select("host", region.alias("region"), F.when(F.col("varies"), F.col("off")).otherwise(F.array().cast("array<string>")).alias("off"))
 
 
-def main_text(source: str | None, region: str = "", off: frozenset[str] = frozenset()) -> str:
+def main_text(source: str | None, region: str = "", off: frozenset[str] = frozenset(), frame: Frame | None = None) -> str:
     """The main text of a page: blocks in their order, a line each.
 
     Blocks that aren't surroundings, under the host's region; of these the ones in main elements if there are some. A
-    page without blocks in the region has all that aren't surroundings. Blocks of the paths ``off`` go first.
+    page without blocks in the region has all that aren't surroundings. Blocks of the paths ``off`` go first. ``region``
+    and ``off`` say nothing of a page that doesn't match ``frame``.
     """
     if not source:
         return ""
-    blocks = [b for b in Page(source).blocks if not b[2] and b[0] not in off]
+    page = Page(source, frame=frame)
+    if not page.fits:
+        region, off = "", frozenset()
+    blocks = [b for b in page.blocks if not b[2] and b[0] not in off]
     within = [b for b in blocks if b[0] == region or b[0].startswith(f"{region}/")] or blocks
     return "\n".join(b[3] for b in [b for b in within if b[1]] or [b for b in blocks if b[1]] or within)
 
 
+_RULES = "array<struct<path:string,key:string,place:int,again:boolean,must:boolean>>"
+
+
+def _frame(rules: list[dict] | None) -> Frame | None:
+    if rules is None:
+        return None
+    out: Frame = {}
+    for r in rules:
+        out.setdefault(r["path"], {})[r["key"]] = (r["place"], r["again"], r["must"])
+    return out
+
+
 def extract(pages: DataFrame, hosts: DataFrame, shipped: int = SHIPPED, salts: int = 16) -> DataFrame:
-    """page_id, url, text and n_chars of every row of page_id, url, html and host, by ``regions``' rows.
+    """page_id, url, text and n_chars of every row of page_id, url, html and host, by ``regions``' or ``wrappers``' rows.
 
     Null and empty pages, and pages without text of their own, have an empty text. Pages of hosts without a region are
-    judged by their own marks. Repeated rows each get their row; other columns are not read.
+    judged by their own marks, and so are pages that don't match their host's frame, if ``hosts`` has one. Repeated rows
+    each get their row; other columns are not read.
     """
-    hosts = hosts.where((F.size("off") > 0) | (F.col("region") != ""))
-    size = hosts.agg(F.sum(F.octet_length("region") + F.aggregate("off", F.lit(0), lambda a, x: a + F.octet_length(x) + 8) + F.octet_length("host"))).first()[0] or 0
-    known = {r["host"]: (r["region"], frozenset(r["off"])) for r in hosts.collect()} if size <= shipped else None
+    if "frame" not in hosts.columns:
+        hosts = hosts.withColumn("frame", F.lit(None).cast(_RULES))
+    hosts = hosts.where((F.size("off") > 0) | (F.col("region") != "")).select("host", "region", "off", "frame")
+    long = F.aggregate("off", F.lit(0), lambda a, x: a + F.octet_length(x) + 8) + F.coalesce(F.aggregate("frame", F.lit(0), lambda a, x: a + F.octet_length(x["path"]) + F.octet_length(x["key"]) + 16), F.lit(0))
+    size = hosts.agg(F.sum(F.octet_length("region") + long + F.octet_length("host"))).first()[0] or 0
+    known = {r["host"]: (r["region"], frozenset(r["off"]), _frame(r["frame"])) for r in hosts.collect()} if size <= shipped else None
     rows = pages.select("page_id", "url", "html", F.coalesce("host", F.lit("")).alias("host"))
     if known is None:  # a hot host's pages are dealt to all salts, so no task has them all
         many = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(many, ["host", "salt"], "left").select("page_id", "url", "html", "host", "region", "off")
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(many, ["host", "salt"], "left").select("page_id", "url", "html", "host", "region", "off", "frame")
     else:
-        rows = rows.select("*", F.lit("").alias("region"), F.lit(None).cast("array<string>").alias("off"))
+        rows = rows.select("*", F.lit("").alias("region"), F.lit(None).cast("array<string>").alias("off"), F.lit(None).cast(_RULES).alias("frame"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for source, host, region, off in zip(batch.column("html"), batch.column("host").to_pylist(), batch.column("region").to_pylist(), batch.column("off").to_pylist(), strict=True):
-                own = known.get(host, ("", frozenset())) if known is not None else (region or "", frozenset(off or ()))
+            for source, host, region, off, frame in zip(batch.column("html"), batch.column("host").to_pylist(), batch.column("region").to_pylist(), batch.column("off").to_pylist(), batch.column("frame"), strict=True):
+                own = known.get(host, ("", frozenset(), None)) if known is not None else (region or "", frozenset(off or ()), _frame(frame.as_py()))
                 out.append(main_text(source.as_py(), *own))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -444,7 +514,15 @@ def extract(pages: DataFrame, hosts: DataFrame, shipped: int = SHIPPED, salts: i
     return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
 
 
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, region, off and frame of every host of ``pages`` (host, html)."""
+    slots = written(infer(pages), "slots")
+    out = written(regions(slots).join(frames(pages, slots), "host", "left"), "wrappers")
+    forget(slots)
+    return out
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """``extract`` by wrappers inferred from the same pages. Pages of null urls, or without ://, are one host's."""
     known = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    return extract(known, written(regions(infer(known)), "regions"))
+    return extract(known, wrappers(known))

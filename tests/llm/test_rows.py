@@ -301,6 +301,27 @@ def test_fixed_parts_of_a_host_go(spark):
     assert html.main_texts(df.limit(0)).count() == 0
 
 
+def test_pages_are_matched_against_the_wrapper(spark):
+    page = lambda i: f"<html><body><table><tr><td><p>Site name</p></td></tr></table><blockquote><p>Story {i} with words</p></blockquote></body></html>"
+    own = spark.createDataFrame([(i, "http://h.example/", page(i), "h.example") for i in range(6)], "page_id bigint, url string, html string, host string")
+    hosts = html.wrappers(own)
+    other = ["<html><body><div><p>Another story</p></div><blockquote><p>a quote</p></blockquote></body></html>", "<html><body><blockquote><p>first</p></blockquote><table><tr><td><p>last</p></td></tr></table></body></html>"]
+    df = spark.createDataFrame([(i, "http://h.example/", t, "h.example") for i, t in enumerate([page(9), *other])], "page_id bigint, url string, html string, host string")
+    for shipped in (1 << 20, 0):
+        got = {r["page_id"]: r["text"] for r in html.extract(df, hosts, shipped).collect()}
+        assert got == {0: "Story 9 with words", 1: "Another story\na quote", 2: "first\nlast"}, "a page of another make has no region and no fixed parts"
+    rows = {(r["path"], r["key"]): (r["place"], r["again"], r["must"]) for r in hosts.first()["frame"]}
+    assert rows["/html/body", "table"] == (0, False, True) and rows["/html/body", "blockquote"] == (1, False, True)
+
+
+def test_every_page_matches_its_frame(spark):
+    rng = random.Random(9)
+    rows = [(i, f"http://h{i % 7}/", random_page(rng), f"h{i % 7}") for i in range(70)] + [(90, "http://h1/", None, "h1")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string")
+    frames = {r["host"]: html._frame(r["frame"]) for r in html.wrappers(df).collect()}
+    assert all(html.Page(t or "", frame=frames[h]).fits for _, _, t, h in rows)
+
+
 # --- URLs
 
 
