@@ -1,9 +1,10 @@
 """Near copies by exact similarity of shingle sets.
 
 A text is the set of its five-word shingles; two texts are linked if the Jaccard similarity of their sets is at least
-0.8. Candidates share all minima of a band of permutations: a pair at exactly 0.8 shares none of the 40 bands of 6 with a
-probability of 5 in a million, a nearer pair less often. Chains along the bands give clusters, which join at least what
-is linked. Every cluster's sets are then compared with each other, each pair exactly; a cluster wider than a tile is cut
+0.8. Candidates are SimHash near duplicates, found by the bit-sliced comparison of ``simhash`` over fingerprints of the
+sets, which misses none within its radius. Most pairs at 0.8 lie beyond any radius that can be searched, so candidates
+also share all minima of a band of permutations: a pair at exactly 0.8 shares none of the 40 bands of 6 with a probability
+of 5 in a million, a nearer pair less often. Both kinds of links give clusters, which join at least what is linked. Every cluster's sets are then compared with each other, each pair exactly; a cluster wider than a tile is cut
 into chunks, and every two chunks meet in a tile, which loses no pair. Each tile gives a spanning forest of its links.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, space_chunks, written
-from .simhash import components, unique_key
+from .simhash import components, links, majority, tally, unique_key
 
 SHINGLE = 5
 #: Similarity as a fraction, so that it is compared in whole numbers.
@@ -113,14 +114,24 @@ def linked(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
 
 
 def _sketches(docs: DataFrame, text: str) -> DataFrame:
-    """_key, fp (a hash of the whole set) and bands of each row."""
+    """_key, fp (a hash of the whole set), sim (its SimHash, 0 for no shingles) and bands of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column("t")]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([whole(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=["_key", "fp", "bands"])
+            sim = np.fromiter((majority(tally(s), len(s)) for s in sets), np.uint64, len(sets)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([whole(s) for s in sets], pa.int64()), pa.array(sim), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=["_key", "fp", "sim", "bands"])
 
-    return docs.select(F.col("_key").alias("k"), F.col(text).alias("t")).mapInArrow(run, "_key bigint, fp bigint, bands array<bigint>")
+    return docs.select(F.col("_key").alias("k"), F.col(text).alias("t")).mapInArrow(run, "_key bigint, fp bigint, sim bigint, bands array<bigint>")
+
+
+def _near(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of fps that join all whose SimHashes are equal or within op3's radius."""
+    heads = distinct.groupBy("sim").agg(F.min("fp").alias("head"))
+    same = distinct.join(heads, "sim").where("fp != head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
+    other = links(heads.select(F.col("sim").alias("fp")))
+    a, b = heads.select(F.col("sim").alias("a"), F.col("head").alias("x")), heads.select(F.col("sim").alias("b"), F.col("head").alias("y"))
+    return same.unionByName(other.distinct().join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def _chains(distinct: DataFrame) -> DataFrame:
@@ -177,8 +188,8 @@ def _links(members: DataFrame) -> DataFrame:
 def near_copies(told: DataFrame, text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """_key and component_id (the least _key reachable by links) of each row of _key (a long, never null) and ``text``. Wordless texts are copies of each other."""
     fps = written(_sketches(told, text), "sketches")
-    distinct = written(fps.groupBy("fp").agg(F.min("_key").alias("least"), F.first("bands").alias("bands")), "distinct")
-    found = components(distinct.select("fp"), _chains(distinct))
+    distinct = written(fps.groupBy("fp").agg(F.min("_key").alias("least"), F.first("sim").alias("sim"), F.first("bands").alias("bands")), "distinct")
+    found = components(distinct.select("fp"), _near(distinct).unionByName(_chains(distinct)))
     clusters = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n")).select(F.col("root").alias("cluster"), F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
     named = clusters.join(sizes, clusters["root"] == sizes["cluster"]).select("node", "cluster", "parts")

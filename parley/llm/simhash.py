@@ -28,6 +28,19 @@ CHOICES = (1, 3, 6)
 ROWS = 1 << 18
 
 
+def tally(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(h), 1 << 15):
+        counts += np.unpackbits(h[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return counts
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits that are set in over half of ``n`` hashes."""
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The SimHash of a text's word shingles, repeats included; 0 without words; fewer words than a shingle are one. A long text is hashed in parts."""
     from xxhash import xxh64_intdigest
@@ -44,12 +57,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
         starts = np.concatenate([[0], ends[:-1] + 1])
         m = len(words) - shingle + 1
         h = np.fromiter((xxh64_intdigest(flat[s:e], seed) for s, e in zip(starts[:m].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, m)
-        for k in range(0, m, 1 << 15):
-            counts += np.unpackbits(h[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        counts += tally(h)
         n += m
     if not n:
         return xxh64_intdigest(b" ".join(tail), seed) if tail else 0
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    return majority(counts, n)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:

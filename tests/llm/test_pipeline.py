@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parley.llm import copies, decontaminate, queries, simhash, toxicity
@@ -90,6 +91,19 @@ def test_near_copies_are_found_by_exact_similarity(spark):
     assert {r["doc_id"] for r in copies.deduplicate(docs, chunk=2).collect()} == want  # clusters wider than a tile lose no pair
 
 
+def test_fingerprints_give_candidates(spark, monkeypatch):
+    rng = random.Random(7)
+    vocab, rows = [f"w{i}" for i in range(5000)], []
+    for i in range(20):
+        words = [rng.choice(vocab) for _ in range(3000)]
+        rows += [(i * 10, " ".join(words)), (i * 10 + 1, " ".join([*words[:-1], "another"])), (i * 10 + 2, " ".join(words[:1500]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(copies, "_chains", lambda distinct: distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0))
+    near = [(a, b) for a, b in ((simhash.fingerprint(rows[i * 3][1], 5), simhash.fingerprint(rows[i * 3 + 1][1], 5)) for i in range(20)) if bin(a ^ b).count("1") <= simhash.RADIUS]
+    assert len(near) > 15
+    assert {r["doc_id"] for r in copies.deduplicate(docs).collect()} == brute_kept(rows), "without bands, texts within the radius are still linked, exactly checked"
+
+
 def test_stage_leaves_no_near_copies(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
